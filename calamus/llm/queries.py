@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calamus.llm import distinctive, frequencies, mixing, packing, pieces, splits, sql, vectors
+from calamus.llm import distinctive, frequencies, mixing, names, packing, pieces, splits, sql, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,11 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.needed_cuts(pieces.cut_works(_t(spark, sf, "raw_works")))
 
 
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    stored = names.stored_names(_t(spark, sf, "soldier_letters"), _t(spark, sf, "soldier_sailing"))
+    return names.same_person(names.persons(stored, _t(spark, sf, "given_names")))
+
+
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
     return packing.divided(packing.pack(_t(spark, sf, "documents")))
 
@@ -45,7 +50,7 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found}
 
 
 def oracle_sql() -> dict[str, str]:
