@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from calamus.llm import distinctive, frequencies, mixing, names, packing, pieces, splits, sql, vectors
+from calamus.llm import distinctive, frequencies, mixing, names, packing, pieces, splits, sql, stuffing, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -49,8 +49,12 @@ def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     return report.where("short").select("mix_name", "source")
 
 
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    return stuffing.spam_pages(_t(spark, sf, "documents")).select("doc_id")
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found}
 
 
 def oracle_sql() -> dict[str, str]:
