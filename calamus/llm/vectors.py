@@ -114,45 +114,70 @@ FOUND = "q bigint, p bigint, sim float"
 
 def _search(index: Index, dims: int, k: int, floor: float | None, carry: bool, width: float, rows: int):
     """A stream of blocks, each its data rows first and then its queries; only one block's data are held, queries pass by."""
-    root = np.sqrt(dims)
+    root = np.float32(np.sqrt(dims))
+
+    def sides(h: pd.DataFrame) -> list:
+        """A block's rows as factors: what a query's factors multiply to is the estimate plus, or less, its error bound.
+        For a unit residual x of length r, code c and alignment y, <q, x> is estimated by <c, q> / y; its standard deviation
+        is at most |q| e + s, e = sqrt((1 - y^2) / (y^2 (dims - 1))), s that of the query's rounding to four bits."""
+        bits = np.unpackbits(np.frombuffer(b"".join(h["code"]), np.uint8).reshape(len(h), dims // 8), axis=1)
+        r, y = h["x"].to_numpy()[:, None], np.maximum(h["y"].to_numpy()[:, None], 1e-6)
+        signs = (bits.astype(np.float32) * 2 - 1) * (r / (root * y))
+        spread = np.sqrt(np.maximum(1 - y * y, 0) / (y * y * (dims - 1)))
+        high, low = (np.hstack([signs, 1 - r * r / 2, w * width * r * spread, w * width * r, np.ones_like(r)]).astype(np.float32).T.copy() for w in (1, -1))
+        whole = np.frombuffer(b"".join(h["v"]), np.float32).reshape(len(h), dims) if carry else None
+        return [h["_id"].to_numpy(), high, low, whole]
+
+    def kth(rows_: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+        """The k-th largest value of each row given sparsely; -9 where there are fewer."""
+        out = np.full(n, -9, np.float32)
+        order = np.lexsort((-values, rows_))
+        r = rows_[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        out[r[place == k - 1]] = values[order][place == k - 1]
+        return out
 
     def answer(cell: int, data: list, ask: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        ids, signs, radius, aligned, whole = data
+        ids, high, low, whole = data
         for lo in range(0, len(ask), rows):
             part = ask.iloc[lo : lo + rows]
             packed = np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(part), dims // 2)
-            four = np.empty((len(part), dims), np.float32)
-            four[:, ::2] = packed >> 4
-            four[:, 1::2] = packed & 15
+            q = np.empty((len(part), dims), np.float32)
+            q[:, ::2] = packed >> 4
+            q[:, 1::2] = packed & 15
             step = part["x"].to_numpy()[:, None]
-            q = (four - 8) * step - index.turned[cell]
+            q = (q - 8) * step - index.turned[cell]
             far2 = (q * q).sum(1, keepdims=True)
-            # <code, q> / <code, x> estimates <x, q>, x the unit residual of a data row.
-            inner = (q @ signs.T) / root / aligned
-            # The rounding of the query to four bits has a standard deviation of step / sqrt(12) in every coordinate.
-            error = width * np.sqrt(far2 * ((1 - aligned**2) / aligned**2 / (dims - 1)) + step**2 / 12)
-            sim = 1 - (radius**2 + far2 - 2 * radius * inner) / 2
-            slack = radius * error
+            q = np.hstack([q, np.ones_like(step), np.sqrt(far2), step / np.float32(np.sqrt(12)), -far2 / 2]).astype(np.float32)
             mine = part["_id"].to_numpy()
-            own = mine[:, None] == ids
-            high = np.where(own, -9, sim + slack)
-            need = np.full(len(part), -8.0 if floor is None else floor)
-            if len(ids) > k:
-                low = np.where(own, -9, sim - slack)
-                need = np.maximum(need, np.partition(low, len(ids) - k, axis=1)[:, len(ids) - k])
-            a, b = np.nonzero(high >= need[:, None])
+            upper = q @ high
+            if floor is not None:
+                need = np.float32(floor)
+            elif len(ids) > k:
+                lower = q @ low
+                need = np.partition(lower, len(ids) - k - 1, axis=1)[:, len(ids) - k - 1][:, None]
+            else:
+                need = np.float32(-9)
+            a, b = np.nonzero(upper >= need)
+            other = mine[a] != ids[b]
+            a, b = a[other], b[other]
             if not len(a):
                 continue
             if not carry:
-                yield pd.DataFrame({"q": mine[a], "p": ids[b], "sim": sim[a, b].astype(np.float32)})
+                # Nothing below the k-th best lower bound can be among the k best; with few candidates there is none.
+                if np.bincount(a).max() > k:
+                    least = np.einsum("ij,ji->i", q[a], low[:, b])
+                    best = upper[a, b] >= kth(a, least, len(part))[a]
+                    a, b = a[best], b[best]
+                yield pd.DataFrame({"q": mine[a], "p": ids[b], "sim": upper[a, b]})
                 continue
             u = np.frombuffer(b"".join(part["v"]), np.float32).reshape(len(part), dims)
-            exact = np.full(sim.shape, -9, np.float32)
-            exact[a, b] = np.einsum("ij,ij->i", u[a], whole[b])
-            best = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-            score = np.take_along_axis(exact, best, 1)
-            a, c = np.nonzero(score >= (-2 if floor is None else floor))
-            yield pd.DataFrame({"q": mine[a], "p": ids[best[a, c]], "sim": score[a, c]})
+            exact = np.einsum("ij,ij->i", u[a], whole[b])
+            order = np.lexsort((ids[b], -exact, a))
+            r = a[order]
+            first = np.arange(len(r)) - np.searchsorted(r, r) < k
+            a, b, exact = r[first], b[order][first], exact[order][first]
+            yield pd.DataFrame({"q": mine[a], "p": ids[b], "sim": exact})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held, data = None, [], None
@@ -166,10 +191,7 @@ def _search(index: Index, dims: int, k: int, floor: float | None, carry: bool, w
                 ask = part[part["role"] == 1]
                 if len(ask) and held:
                     if data is None:
-                        h = pd.concat(held)
-                        bits = np.unpackbits(np.frombuffer(b"".join(h["code"]), np.uint8).reshape(len(h), dims // 8), axis=1)
-                        whole = np.frombuffer(b"".join(h["v"]), np.float32).reshape(len(h), dims) if carry else None
-                        data = [h["_id"].to_numpy(), bits.astype(np.float32) * 2 - 1, h["x"].to_numpy(), np.maximum(h["y"].to_numpy(), 1e-6), whole]
+                        data = sides(pd.concat(held))
                     yield from answer(cell, data, ask)
 
     return run
@@ -196,7 +218,7 @@ def nearest(
     """(id, neighbour, rank, similarity): the `k` most similar other vectors of every usable vector by cosine, ties by id.
     With `floor`, only neighbours of at least that similarity (none of the k that reach it is then lost to the floor).
 
-    * Fitted on at most `sample_rows` vectors (least hashes of the ids): a random rotation and cells, one per `per_cell`
+    * Fitted on about `sample_rows` vectors (chosen by a hash of the id, whatever the number of vectors): a random rotation and cells, one per `per_cell`
       vectors, at most `max_cells`. Every vector is indexed.
     * A vector is stored as one bit per rotated coordinate of its residual from the cell's centre, with two correction
       scalars: the residual's length and how well the code is aligned with it. Asked, it goes to its best cell and to
@@ -222,7 +244,7 @@ def nearest(
         per_cell = 8000 if carry else 500
     if margin is None:
         margin = 0.22 if carry else 0.16
-    sample = solo.orderBy(F.xxhash64(F.lit(seed), "_id"), "_id").limit(sample_rows).toPandas() if counted > 4 * per_cell else None
+    sample = solo.where(F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(counted)) < sample_rows).select("_vec").toPandas() if counted > 4 * per_cell else None
     unit = _unit(sample["_vec"], dims) if sample is not None and len(sample) else np.zeros((0, dims), np.float32)
     index = fit(unit, min(max_cells, max(1, counted // per_cell)), seed)
     data = solo.mapInPandas(_data_rows(index, dims, carry), ENTRY)
