@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calamus.functions.text import normalize
+from calamus.functions.numeric import let
+from calamus.functions.text import deaccent
 from calamus.session import materialize
 
 #: A word that is, or holds, an address; or markup around one.
@@ -15,7 +18,6 @@ HASHTAG = r"(?<!\S)#\S+"
 ENTRY = r"\d+\.\s+\p{Lu}\p{L}+(?:\s+\p{L}+)*,\s*\p{Lu}\p{L}+,\s*\d+\s+\p{L}+|\p{Lu}\p{L}+,\s+\p{Lu}\p{L}+(?:\s+\p{L}+)*\s*\(\p{Lu}\p{L}+\)"
 LANGUAGES = 8
 FUNCTION_WORDS = 48
-FEATURES = "p9-passages"
 
 
 def _language(c: str = "lang") -> Column:
@@ -23,76 +25,111 @@ def _language(c: str = "lang") -> Column:
 
 
 def _terms(text: Column) -> Column:
-    """Terms of a passage as they enter its curve: addresses and hashtags stand for one sign each, signs and digits go,
-    so that spellings of one keyword that differ in these meet."""
-    plain = F.regexp_replace(F.regexp_replace(normalize(text), ADDRESS, " § "), HASHTAG, " § ")
-    return F.filter(F.split(F.regexp_replace(plain, r"[^\p{L}\s§]+", ""), r"\s+"), lambda w: w != "")
+    """Terms of a text with single blanks, as they enter its curve: addresses and hashtags stand for one sign each, signs and
+    digits go, so that spellings of one keyword that differ in these meet. Each costly step runs only on texts that hold
+    what it looks for; accents, for one, only on texts with more bytes than characters."""
+    low = F.lower(text)
+    plain = F.when(F.octet_length(low) > F.length(low), deaccent(low)).otherwise(low)
+    plain = let(plain, lambda t: F.when(F.regexp_like(t, F.lit(r"\.\p{L}|://|\[\.\]|href=|<")), F.regexp_replace(t, ADDRESS, "§")).otherwise(t))
+    plain = let(plain, lambda t: F.when(F.contains(t, F.lit("#")), F.regexp_replace(t, HASHTAG, "§")).otherwise(t))
+    return F.filter(F.split(F.regexp_replace(plain, r"[^\p{L} §]+", ""), " "), lambda w: w != "")
 
 
-def function_words(docs: DataFrame, text_col: str = "text", per_language: int = FUNCTION_WORDS, share: float = 0.01) -> DataFrame:
-    """(term, mask): the terms held by most documents of each language, bit i set for language i. Languages are those of at
-    least `share` of the documents, at most eight; so the table has at most 8 x `per_language` rows, whatever the corpus."""
-    known = docs.where(F.col("lang").isNotNull() & F.col(text_col).isNotNull()).select(_language().alias("lang"), F.col(text_col).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
+def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 120) -> DataFrame:
+    """(_id, lang, passage, n_words, entries, terms): texts in passages of at most `size` words, cut at blank lines and evenly
+    within longer blocks. Every word of the text is in one passage."""
+    blocks = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
+        F.col(id_col).alias("_id"), _language().alias("lang"), F.posexplode(F.split(F.col(text_col), r"(?:\r\n|\r|\n)[ \t\f]*(?:\r\n|\r|\n)\s*")).alias("block", "text")
+    )
+    words = blocks.select("_id", "lang", "block", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("words")).withColumn("n", F.size("words")).where("n > 0")
+    each = F.ceil(F.col("n") / F.ceil(F.col("n") / F.lit(size))).cast("int")
+    cut = words.withColumn("each", each).withColumn("part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / F.col("each")).cast("int") - 1)))
+    piece = cut.select("_id", "lang", (F.col("block") * F.lit(1 << 20).cast("bigint") + F.col("part")).alias("passage"), F.slice("words", F.col("part") * F.col("each") + 1, F.col("each")).alias("words"))
+    piece = piece.select("_id", "lang", "passage", F.size("words").alias("n_words"), F.array_join("words", " ").alias("text"))
+    entries = F.when(F.regexp_like("text", F.lit(r"\(\p{Lu}|, \d+ \p{L}")), F.regexp_count("text", F.lit(ENTRY))).otherwise(0)
+    return piece.select("_id", "lang", "passage", "n_words", entries.alias("entries"), _terms(F.col("text")).alias("terms"))
+
+
+def frequencies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 120) -> DataFrame:
+    """(lang, _id, passage, term, n), written once and read by all that follows. Texts are distributed by id; cutting and
+    counting stay in that partitioning. Length and number of entries are packed into `passage` (see `unpacked`), so that a
+    row is a few bytes beside its term."""
+    if size > 255:
+        raise ValueError("passages of at most 255 words")
+    named = passages(docs.select(id_col, text_col, "lang").repartition(id_col), id_col, text_col, size)
+    packed = (F.col("passage") * 256 + F.col("n_words")) * 64 + F.least(F.col("entries"), F.lit(63))
+    rows = named.select("_id", "lang", packed.alias("passage"), F.explode("terms").alias("term"))
+    return materialize(rows.groupBy("_id", "lang", "passage", "term").agg(F.count(F.lit(1)).cast("int").alias("n")), "p9-terms")
+
+
+def unpacked() -> tuple[Column, Column]:
+    """Words and roll entries of a passage."""
+    return F.shiftright("passage", 6).bitwiseAND(255).cast("int"), F.col("passage").bitwiseAND(63).cast("int")
+
+
+def function_words(tf: DataFrame, per_language: int = FUNCTION_WORDS, share: float = 0.01) -> DataFrame:
+    """(term, mask): the terms held by most passages of each language, bit i set for language i. Languages are those of at
+    least `share` of the rows, at most eight; so the table has at most 8 x `per_language` rows, whatever the corpus."""
+    sizes = {r["lang"]: r["count"] for r in tf.where("lang is not null").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()}
     total = sum(sizes.values())
     languages = [x for x, n in sizes.items() if n >= share * total]
-    held = known.where(F.col("lang").isin(languages)).select("lang", F.explode(F.array_distinct(_terms(F.col("text")))).alias("term")).where("term <> '§'")
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "term")
-    ranked = held.groupBy("lang", "term").agg(F.count(F.lit(1)).alias("n")).withColumn("r", F.row_number().over(top)).where(F.col("r") <= per_language)
+    top = Window.partitionBy("lang").orderBy(F.desc("held"), "term")
+    held = tf.where(F.col("lang").isin(languages) & (F.col("term") != "§")).groupBy("lang", "term").agg(F.count(F.lit(1)).alias("held"))
+    ranked = held.withColumn("r", F.row_number().over(top)).where(F.col("r") <= per_language)
     bit = F.lit(0)
     for i, x in enumerate(languages):
         bit = F.when(F.col("lang") == x, F.lit(1 << i)).otherwise(bit)
     return materialize(ranked.groupBy("term").agg(F.sum(bit).cast("int").alias("mask")), "p9-function-words")
 
 
-def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 120) -> DataFrame:
-    """(_id, passage, n_words, entries, terms): texts in passages of at most about `size` words, cut at blank lines and evenly within
-    longer blocks. Every word of the text is in one passage."""
-    blocks = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("_id"), F.posexplode(F.split(F.col(text_col), r"(?:\r\n|\r|\n)[ \t\f]*(?:\r\n|\r|\n)\s*")).alias("block", "text")
-    )
-    words = blocks.select("_id", "block", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("words")).withColumn("n", F.size("words")).where("n > 0")
-    parts = F.ceil(F.col("n") / F.lit(size)).cast("int")
-    each = F.ceil(F.col("n") / parts).cast("int")
-    cut = words.select("_id", "block", "words", each.alias("each"), F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / each).cast("int") - 1)).alias("part"))
-    piece = cut.select("_id", (F.col("block") * F.lit(1 << 20).cast("bigint") + F.col("part")).alias("passage"), F.slice("words", F.col("part") * F.col("each") + 1, F.col("each")).alias("words"))
-    piece = piece.select("_id", "passage", F.size("words").alias("n_words"), F.array_join("words", " ").alias("text"))
-    return piece.select("_id", "passage", "n_words", F.regexp_count("text", F.lit(ENTRY)).alias("entries"), _terms(F.col("text")).alias("terms"))
-
-
-def curves(docs: DataFrame, words: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def curves(tf: DataFrame, words: DataFrame, size: int = 120) -> DataFrame:
     """One row per passage: its length, the share of function words (of the language that fits best), and its
     rank-frequency curve: slope and residual of ln frequency over ln rank, and the height of its content terms (how often
-    each occurs on average). Texts are distributed by id once; counting, ranking and fitting stay in that partitioning."""
-    named = passages(docs.select(id_col, text_col).repartition(id_col), id_col, text_col)
-    tf = named.select("_id", "passage", "n_words", "entries", F.explode("terms").alias("term")).groupBy("_id", "passage", "n_words", "entries", "term").agg(F.count(F.lit(1)).alias("n"))
+    each occurs on average).
+
+    Terms of equal frequency hold consecutive ranks, so a passage's terms are first counted per frequency (combined in
+    the task that reads them); a window over these few rows gives the ranks, and sums of ln rank come from a table of at
+    most 256 numbers."""
     # At most LANGUAGES x FUNCTION_WORDS rows are broadcast.
     tf = tf.join(F.broadcast(words), "term", "left").withColumn("mask", F.coalesce("mask", F.lit(0)))
-    rank = F.row_number().over(Window.partitionBy("_id", "passage").orderBy(F.desc("n")))
-    tf = tf.withColumn("lr", F.ln(rank.cast("double"))).withColumn("lf", F.ln(F.col("n").cast("double")))
     content = (F.col("mask") == 0) & (F.col("term") != "§")
-    by = [F.sum(F.when(F.col("mask").bitwiseAND(1 << i) != 0, F.col("n")).otherwise(0)).alias(f"f{i}") for i in range(LANGUAGES)]
-    rows = tf.groupBy("_id", "passage", "n_words", "entries").agg(
-        F.sum("n").alias("n"), F.sum(F.when(content, F.col("n")).otherwise(0)).alias("c"), F.sum(content.cast("int")).alias("types"),
-        F.regr_slope("lf", "lr").alias("slope"), (F.regr_syy("lf", "lr") / F.count(F.lit(1))).alias("syy"), F.regr_r2("lf", "lr").alias("r2"), *by,
+    by = [F.sum(F.when(F.col("mask").bitwiseAND(1 << i) != 0, 1).otherwise(0)).cast("int").alias(f"t{i}") for i in range(LANGUAGES)]
+    level = tf.groupBy("_id", "passage", "n").agg(F.count(F.lit(1)).cast("int").alias("v"), F.sum(content.cast("int")).cast("int").alias("vc"), *by)
+    down = Window.partitionBy("_id", "passage").orderBy(F.desc("n"))
+    level = level.withColumn("hi", F.sum("v").over(down.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    one, two = [0.0], [0.0]
+    for r in range(1, size + 2):
+        one.append(one[-1] + math.log(r))
+        two.append(two[-1] + math.log(r) ** 2)
+    upto = lambda table, c: F.array(*map(F.lit, table))[F.least(c, F.lit(size + 1))]
+    level = level.withColumn("lx", upto(one, F.col("hi")) - upto(one, F.col("hi") - F.col("v"))).withColumn("lxx", upto(two, F.col("hi")) - upto(two, F.col("hi") - F.col("v"))).withColumn("y", F.ln(F.col("n").cast("double")))
+    y, v = F.col("y"), F.col("v")
+    rows = level.groupBy("_id", "passage").agg(
+        F.sum(F.col("n") * v).alias("n"), F.sum(F.col("n") * F.col("vc")).alias("c"), F.sum("vc").alias("types"), F.sum(v).cast("double").alias("k"), F.sum("lx").alias("sx"), F.sum(y * v).alias("sy"),
+        F.sum("lxx").alias("sxx"), F.sum(y * y * v).alias("syy"), F.sum(F.col("lx") * y).alias("sxy"), *[F.sum(F.col("n") * F.col(f"t{i}")).alias(f"f{i}") for i in range(LANGUAGES)],
     )
+    # Least squares of ln frequency over ln rank.
+    k = F.col("k")
+    vx, vy, xy = (F.col(s) / k - F.col(a) * F.col(b) / (k * k) for s, a, b in (("sxx", "sx", "sx"), ("syy", "sy", "sy"), ("sxy", "sx", "sy")))
+    rows = rows.withColumn("slope", F.when(vx > 1e-12, xy / vx).otherwise(F.lit(0.0))).withColumn("residual", F.sqrt(F.greatest(vy - F.col("slope") * xy, F.lit(0.0))))
     most = F.greatest(*[F.col(f"f{i}") for i in range(LANGUAGES)])
     fits = F.lit(-1)
     for i in reversed(range(LANGUAGES)):
         fits = F.when((F.col(f"f{i}") == most) & (most > 0), F.lit(i)).otherwise(fits)
-    return rows.select(
-        "_id", "passage", "n_words", "entries", "n", "c", fits.alias("language"), (most / F.col("n")).alias("function"), F.coalesce("slope", F.lit(0.0)).alias("slope"),
-        F.sqrt(F.greatest(F.col("syy") * (1 - F.coalesce("r2", F.lit(0.0))), F.lit(0.0))).alias("residual"), F.when(F.col("types") > 0, F.ln(F.col("c") / F.col("types"))).otherwise(F.lit(0.0)).alias("height"),
-    )
+    n_words, entries = unpacked()
+    height = F.when(F.col("types") > 0, F.ln(F.col("c") / F.col("types"))).otherwise(F.lit(0.0))
+    return rows.select("_id", "passage", n_words.alias("n_words"), entries.alias("entries"), "n", "c", fits.alias("language"), (most / F.col("n")).alias("function"), "slope", "residual", height.alias("height"))
 
 
 def judged(rows: DataFrame, drop: float = 4.0, evidence: float = 4.0, excess: float = 0.5, steep: float = 8.0) -> DataFrame:
     """Passages with `spam`: whether their curve is not that of same-language prose of comparable length (powers of two).
 
     * divergence: function words are less than 1/`drop` of what is usual, and the Kullback-Leibler divergence from the
-      usual share, times the length, is at least `evidence`; entries of a roll (names with place and age) are exempt;
+      usual share, times the length, is at least `evidence`;
     * residual: content terms stand on average exp(`excess`) times as high as in such prose (refrains stay below);
     * slope: `steep` times the usual deviation away from the usual slope, with half that residual.
+
+    Passages made up of the entries of a roll (names with place and age) are exempt.
     """
     bin_ = F.floor(F.log2(F.col("n").cast("double"))).cast("int")
     rows = rows.withColumn("bin", bin_)
@@ -106,11 +143,13 @@ def judged(rows: DataFrame, drop: float = 4.0, evidence: float = 4.0, excess: fl
     u = F.least(F.greatest(F.coalesce("u_function", "w_function", F.lit(0.3)), F.lit(0.05)), F.lit(0.95))
     f = F.col("function")
     kl = F.when(f > 0, f * F.ln(f / u)).otherwise(F.lit(0.0)) + F.when(f < 1, (1 - f) * F.ln((1 - f) / (1 - u))).otherwise(F.lit(0.0))
-    divergent = (f * drop < u) & (kl * F.col("n") >= evidence) & ~(F.col("entries") * 8 > F.col("n_words"))
+    divergent = (f * drop < u) & (kl * F.col("n") >= evidence)
     above = F.col("height") - F.coalesce("u_height", "w_height", F.lit(0.0))
     high = (above >= excess) & (F.col("c") >= 6)
     sloped = (F.abs(F.col("slope") - F.col("u_slope")) >= steep * F.greatest(F.col("u_dev"), F.lit(0.01))) & (above >= excess / 2 + 0.15) & (F.col("c") >= 12)
-    return x.withColumn("spam", F.coalesce(divergent, F.lit(False)) | F.coalesce(high, F.lit(False)) | F.coalesce(sloped, F.lit(False)))
+    odd = F.coalesce(divergent, F.lit(False)) | F.coalesce(high, F.lit(False)) | F.coalesce(sloped, F.lit(False))
+    roll = F.col("entries") * 8 > F.col("n_words")
+    return x.withColumn("spam", odd & ~roll)
 
 
 def spam_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", share: float = 0.5, **cuts: float) -> DataFrame:
@@ -119,7 +158,8 @@ def spam_pages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Defined results: NULL and blank texts aren't pages; NULL or unknown languages are judged by the language that fits
     best; ids that occur twice are judged on all their text; an empty table gives no row; other columns are ignored.
     """
-    rows = materialize(curves(docs, function_words(docs, text_col), id_col, text_col), FEATURES)
+    tf = frequencies(docs, id_col, text_col)
+    rows = materialize(curves(tf, function_words(tf)), "p9-passages")
     pages = judged(rows, **cuts).groupBy(F.col("_id").alias(id_col)).agg(F.sum("n_words").alias("n_words"), F.sum(F.when(F.col("spam"), F.col("n_words")).otherwise(0)).alias("spam_words"))
     return pages.where(F.col("spam_words") > share * F.col("n_words"))
 
