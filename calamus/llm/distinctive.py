@@ -30,12 +30,13 @@ def log_entropy(corpus: DataFrame, id_col: str = "doc_id", tokens_col: str = "to
         .groupBy("_id", "length", "term")
         .agg(F.count(F.lit(1)).alias("tf"))
     )
+    counts = materialize(counts, "p1-counts")
     tf = F.col("tf").cast("double")
     stats = materialize(
         counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df"), F.sum(tf * F.ln(tf)).alias("_tlnt")), "p1-terms"
     )
-    total = rec.agg(F.count(F.lit(1)).alias("n_records"), F.coalesce(F.sum(F.size("_terms")), F.lit(0)).cast("bigint").alias("n_terms")).first()
-    n, n_terms = total["n_records"], total["n_terms"]
+    n = rec.select("_id").count()
+    n_terms = stats.agg(F.coalesce(F.sum("cf"), F.lit(0)).alias("s")).first()["s"]
     cf = F.col("cf").cast("double")
     entropy = F.greatest(F.ln(cf) - F.col("_tlnt") / cf, F.lit(0.0))
     weight = F.greatest(1 - entropy / math.log(n), F.lit(0.0)) if n > 1 else F.lit(0.0)

@@ -12,10 +12,9 @@ from calamus.session import materialize, small_enough
 def record_terms(corpus: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
     """(id, terms): one row per record that has a token list. Records delivered again count once, NULL ids and NULL
     lists take no part. Hash-partitioned by id, so counting per record needs no further shuffle."""
-    rows = corpus.where(F.col(tokens_col).isNotNull() & F.col(id_col).isNotNull())
-    return rows.select(F.col(id_col).alias("_id"), F.array_join(F.col(tokens_col), " ").alias("_text")).dropDuplicates(["_id"]).select(
-        "_id", tokenize(F.col("_text")).alias("_terms")
-    )
+    rows = once(corpus.where(F.col(tokens_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(tokens_col).alias("_tokens")), "_id")
+    texts = rows.select("_id", F.array_join("_tokens", " ").alias("_text")).repartition("_id")
+    return texts.select("_id", tokenize(F.col("_text")).alias("_terms"))
 
 
 def once(df: DataFrame, id_col: str) -> DataFrame:
