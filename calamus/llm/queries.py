@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from calamus.llm import distinctive, frequencies, mixing, names, packing, pieces, splits, sql, stuffing, vectors
 
@@ -53,8 +54,68 @@ def p9_found(spark: SparkSession, sf: str) -> DataFrame:
     return stuffing.spam_pages(_t(spark, sf, "documents")).select("doc_id")
 
 
+def p1_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Every term of every record with its score."""
+    scored = distinctive.log_entropy(_t(spark, sf, "corpus"))
+    return scored.select("doc_id", "term", "tf", "cf", "df", F.round("score", 6).alias("score"))
+
+
+def p2_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every distinct term with its occurrences and records."""
+    return frequencies.term_frequencies(_t(spark, sf, "corpus"))
+
+
+def p3_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record with its label."""
+    return splits.split_records(_t(spark, sf, "corpus"))[0]
+
+
+def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    """The five most similar vectors of every usable vector, however similar."""
+    return vectors.nearest(_t(spark, sf, "style_vectors"))
+
+
+def p5_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """Every piece of every work."""
+    return pieces.cut_works(_t(spark, sf, "raw_works"))
+
+
+def p6_persons(spark: SparkSession, sf: str) -> DataFrame:
+    """Every spelling with the person it refers to."""
+    stored = names.stored_names(_t(spark, sf, "soldier_letters"), _t(spark, sf, "soldier_sailing"))
+    return names.persons(stored, _t(spark, sf, "given_names"))
+
+
+def p7_containers(spark: SparkSession, sf: str) -> DataFrame:
+    """Every document, or piece of one, with its container."""
+    return packing.pack(_t(spark, sf, "documents"))
+
+
+def p7_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """How full the containers are."""
+    return packing.fill_report(packing.pack(_t(spark, sf, "documents")))
+
+
+def p8_copies(spark: SparkSession, sf: str) -> DataFrame:
+    """How often each document is taken in each mix."""
+    return mixing.schedule(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))[0]
+
+
+def p8_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The shares reached."""
+    report = mixing.schedule(_t(spark, sf, "documents"), _t(spark, sf, "mix_targets"))[1]
+    return report.select("mix_name", "source", "target_share", "tokens", F.round("share", 6).alias("share"), "short")
+
+
+def p9_pages(spark: SparkSession, sf: str) -> DataFrame:
+    """Spam pages with their words, and those in spam passages."""
+    return stuffing.spam_pages(_t(spark, sf, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p7_found": p7_found, "p8_found": p8_found, "p9_found": p9_found}
+    found = (p1_found, p2_found, p3_found, p4_found, p5_found, p6_found, p7_found, p8_found, p9_found)
+    whole = (p1_scores, p2_counts, p3_splits, p4_neighbours, p5_pieces, p6_persons, p7_containers, p7_fill, p8_copies, p8_report, p9_pages)
+    return {f.__name__: f for f in (*found, *whole)}
 
 
 def oracle_sql() -> dict[str, str]:
