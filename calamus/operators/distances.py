@@ -30,7 +30,8 @@ def _cityblock(p: Parts) -> Column:
 
 
 def _cosine(p: Parts) -> Column:
-    return F.greatest(F.lit(0.0), 1 - ratio(p["dot"], F.sqrt(p["s2i"] * p["s2j"])))
+    norms = F.sqrt(p["s2i"] * p["s2j"])
+    return F.when(norms > 0, F.greatest(F.lit(0.0), 1 - ratio(p["dot"], norms)))
 
 
 def _divergence(p: Parts) -> Column:

@@ -241,7 +241,7 @@ def oracle_sql() -> dict[str, str]:
         "impostor_sigma_top1": sigma("(rank = 1)::int::double"),
         "impostor_sigma_mrr": sigma("case when rank <= 11 then 1::double / rank else 0 end"),
         "impostor_sigma_cityblock": sigma("(rank = 1)::int::double", "cityblock"),
-        "pr_curve": f"with {FIT}, {curve()} select threshold, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) f1 from cv",
+        "pr_curve": f"with {FIT}, {curve()} select round(threshold, 6) threshold, round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) f1 from cv",
         "threshold_eval": f"with {FIT} select 0.5::double threshold, * from ({hits('sim >= 0.5')})",
         "average_precision": area("(precision + p0) / 2"),
         "average_precision_step": area("precision"),
