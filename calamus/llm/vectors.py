@@ -137,6 +137,19 @@ def _search(index: Index, dims: int, k: int, floor: float | None, carry: bool, w
         out[r[place == k - 1]] = values[order][place == k - 1]
         return out
 
+    def best_so_far(upper: np.ndarray, u: np.ndarray, mine: np.ndarray, ids: np.ndarray, whole: np.ndarray) -> np.ndarray:
+        """The k-th best exact similarity among each query's most promising rows (those whose bound stands out, or all of a
+        small block): nothing with a lower bound can be among the k best."""
+        out = np.full((len(upper), 1), floor if floor is not None else -9, np.float32)
+        line = upper.mean(1, keepdims=True) + 2.6 * upper.std(1, keepdims=True) if len(ids) > 64 else out
+        a, b = np.nonzero(upper >= line)
+        other = mine[a] != ids[b]
+        a, b = a[other], b[other]
+        if len(a):
+            upper[a, b] = 9  # these are in hand, whatever their bound says
+            out[:, 0] = np.maximum(out[:, 0], kth(a, np.einsum("ij,ij->i", u[a], whole[b]), len(upper)) - np.float32(1e-6))
+        return out
+
     def answer(cell: int, data: list, ask: pd.DataFrame) -> Iterator[pd.DataFrame]:
         ids, high, low, whole = data
         for lo in range(0, len(ask), rows):
@@ -151,13 +164,11 @@ def _search(index: Index, dims: int, k: int, floor: float | None, carry: bool, w
             q = np.hstack([q, np.ones_like(step), np.sqrt(far2), step / np.float32(np.sqrt(12)), -far2 / 2]).astype(np.float32)
             mine = part["_id"].to_numpy()
             upper = q @ high
-            if floor is not None:
-                need = np.float32(floor)
-            elif len(ids) > k:
-                lower = q @ low
-                need = np.partition(lower, len(ids) - k - 1, axis=1)[:, len(ids) - k - 1][:, None]
+            if carry:
+                u = np.frombuffer(b"".join(part["v"]), np.float32).reshape(len(part), dims)
+                need = best_so_far(upper, u, mine, ids, whole)
             else:
-                need = np.float32(-9)
+                need = np.float32(floor)
             a, b = np.nonzero(upper >= need)
             other = mine[a] != ids[b]
             a, b = a[other], b[other]
@@ -171,8 +182,9 @@ def _search(index: Index, dims: int, k: int, floor: float | None, carry: bool, w
                     a, b = a[best], b[best]
                 yield pd.DataFrame({"q": mine[a], "p": ids[b], "sim": upper[a, b]})
                 continue
-            u = np.frombuffer(b"".join(part["v"]), np.float32).reshape(len(part), dims)
             exact = np.einsum("ij,ij->i", u[a], whole[b])
+            keep = exact >= need[a, 0]
+            a, b, exact = a[keep], b[keep], exact[keep]
             order = np.lexsort((ids[b], -exact, a))
             r = a[order]
             first = np.arange(len(r)) - np.searchsorted(r, r) < k
@@ -213,7 +225,7 @@ def _copies(rows: DataFrame, k: int, salt: int = 32) -> tuple[DataFrame, DataFra
 
 def nearest(
     vectors: DataFrame, k: int = 5, floor: float | None = None, id_col: str = "vec_id", vec_col: str = "vec", dims: int = 64, sample_rows: int = 20_000,
-    per_cell: int | None = None, max_cells: int = 4096, margin: float | None = None, width: float = 2.5, block_rows: int = 8192, seed: int = 7,
+    per_cell: int | None = None, max_cells: int = 4096, margin: float | None = None, width: float | None = None, block_rows: int = 8192, seed: int = 7,
 ) -> DataFrame:
     """(id, neighbour, rank, similarity): the `k` most similar other vectors of every usable vector by cosine, ties by id.
     With `floor`, only neighbours of at least that similarity (none of the k that reach it is then lost to the floor).
@@ -244,6 +256,8 @@ def nearest(
         per_cell = 8000 if carry else 500
     if margin is None:
         margin = 0.22 if carry else 0.16
+    if width is None:
+        width = 1.6 if carry else 2.5
     sample = solo.where(F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(counted)) < sample_rows).select("_vec").toPandas() if counted > 4 * per_cell else None
     unit = _unit(sample["_vec"], dims) if sample is not None and len(sample) else np.zeros((0, dims), np.float32)
     index = fit(unit, min(max_cells, max(1, counted // per_cell)), seed)
@@ -302,8 +316,8 @@ def _with_copies(exact: DataFrame, copies: DataFrame, groups: DataFrame, first:
     own = copies.join(first, "rep").where(F.col("_id") != F.col("other")).select(F.col("_id").alias("q"), F.col("other").alias("p"), F.lit(1.0).alias("sim"))
     single = wide.join(groups.select(F.col("rep").alias("q")), "q", "left_anti")
     few = groups.where(F.col("n") <= k).select("rep")
-    members = copies.join(few, "rep", "left_semi")
-    given = wide.join(members, wide["q"] == members["rep"]).select(members["_id"].alias("q"), "p", "sim")
+    members = copies.join(few, "rep", "left_semi").select(F.col("_id").alias("_m"), F.col("rep").alias("q"))
+    given = wide.join(members, "q").select(F.col("_m").alias("q"), "p", "sim")
     return single.unionByName(given).unionByName(own)
 
 
