@@ -39,7 +39,7 @@ def passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", si
     """(_id, lang, passage, n_words, entries, terms): texts in passages of at most `size` words, cut at blank lines and evenly
     within longer blocks. Every word of the text is in one passage."""
     blocks = docs.where(F.col(text_col).isNotNull() & F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("_id"), _language().alias("lang"), F.posexplode(F.split(F.col(text_col), r"(?:\r\n|\r|\n)[ \t\f]*(?:\r\n|\r|\n)\s*")).alias("block", "text")
+        F.col(id_col).alias("_id"), _language().alias("lang"), F.posexplode(F.split(F.col(text_col), r"(?:\r\n|\r(?!\n)|\n)[ \t\f]*(?:\r\n|\r|\n)\s*")).alias("block", "text")
     )
     words = blocks.select("_id", "lang", "block", F.filter(F.split("text", r"\s+"), lambda w: w != "").alias("words")).withColumn("n", F.size("words")).where("n > 0")
     each = F.ceil(F.col("n") / F.ceil(F.col("n") / F.lit(size))).cast("int")

@@ -90,7 +90,7 @@ def test_shares_are_reached(spark):
 def test_short_and_missing_sources(spark):
     rows = [(i, "w w w w", "a") for i in range(90)] + [(100 + i, "w w w w", "b") for i in range(10)]
     taken, report = mixed(spark, rows, [("m", "a", 0.5, 3), ("m", "b", 0.4, 2), ("m", "none", 0.1, 9), ("m", "b ", 0.4, 2), ("n", "a", 1.0, 1)])
-    assert report["m", "b"]["short"] and report["m", "none"]["short"] and not report["m", "a"]["short"] and not report["n", "a"]["short"]
+    assert report["m", "b"]["short"] and report["m", "none"]["short"] and not report["m", "a"]["short"] and report["n", "a"]["short"]
     assert report["m", "b"]["tokens"] == 80 and report["m", "none"]["size"] == 0 and report["n", "a"]["tokens"] == 360
     assert {x["copies"] for x in taken if x["source"] == "b"} == {2}
 

@@ -82,7 +82,7 @@ def naive(text):
     if len(text.split()) <= 1000:
         return None
     finest = "paragraph"
-    for p in re.split(r"(?:\r\n|\r|\n)\s*?(?:\r\n|\r|\n)", text):
+    for p in re.split(r"\n\s*?\n", text.replace("\r\n", "\n").replace("\r", "\n")):
         if len(p.split()) > 1000:
             ends = re.sub(r"""([.!?…][)\]}"'»”’›]*)\s+(?=[A-ZÀ-ÖØ-Þ("'«“‘„‚‹\[{])""", "\\1\x00", p)
             finest = "word" if any(len(s.split()) > 1000 for s in ends.split("\x00")) else ("sentence" if finest != "word" else finest)
