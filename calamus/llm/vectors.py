@@ -225,7 +225,7 @@ def _copies(rows: DataFrame, k: int, salt: int = 32) -> tuple[DataFrame, DataFra
 
 def nearest(
     vectors: DataFrame, k: int = 5, floor: float | None = None, id_col: str = "vec_id", vec_col: str = "vec", dims: int = 64, sample_rows: int = 20_000,
-    per_cell: int | None = None, max_cells: int = 4096, margin: float | None = None, width: float | None = None, block_rows: int = 8192, seed: int = 7,
+    per_cell: int | None = None, max_cells: int = 4096, margin: float | None = None, width: float | None = None, block_rows: int | None = None, seed: int = 7,
 ) -> DataFrame:
     """(id, neighbour, rank, similarity): the `k` most similar other vectors of every usable vector by cosine, ties by id.
     With `floor`, only neighbours of at least that similarity (none of the k that reach it is then lost to the floor).
@@ -234,7 +234,8 @@ def nearest(
       vectors, at most `max_cells`. Every vector is indexed.
     * A vector is stored as one bit per rotated coordinate of its residual from the cell's centre, with two correction
       scalars: the residual's length and how well the code is aligned with it. Asked, it goes to its best cell and to
-      those whose centre is at most `margin` less close, with its coordinates rounded to four bits.
+      those whose centre is at most `margin` less close, with its coordinates rounded to four bits. Without a floor it
+      goes to every cell: the nearest of a vector that resembles nothing may lie in any of them.
     * From code and scalars a task estimates each inner product with an error bound (`width` standard deviations); a
       vector is reranked by its exact similarity only if its upper bound reaches the floor and the k-th best lower bound.
     * A cell is kept in blocks of about `block_rows` vectors; a task holds one block and queries pass by in batches, so
@@ -253,9 +254,11 @@ def nearest(
     counted = solo.select("_id").count()
     carry = floor is None
     if per_cell is None:
-        per_cell = 8000 if carry else 500
+        per_cell = 16_000 if carry else 500
+    if block_rows is None:
+        block_rows = 32_768 if carry else 8192
     if margin is None:
-        margin = 0.22 if carry else 0.16
+        margin = float("inf") if carry else 0.16
     if width is None:
         width = 1.6 if carry else 2.5
     sample = solo.where(F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(counted)) < sample_rows).select("_vec").toPandas() if counted > 4 * per_cell else None

@@ -40,6 +40,13 @@ def test_recall_without_floor(spark):
     assert len(got & brute(x, 5)) >= 0.9 * 15000
 
 
+def test_recall_without_floor_over_many_cells(spark):
+    x = data(3000)
+    got = {(r["vec_id"], r["neighbour"]) for r in vectors.nearest(frame(spark, enumerate(x)), 5, per_cell=100).collect()}
+    assert len(got) == 15000
+    assert len(got & brute(x, 5)) >= 0.995 * 15000
+
+
 def test_unusable_repeated_and_copies(spark):
     x = data(12, groups=2)
     rows = [(i, v) for i, v in enumerate(x)] + [(0, x[0]), (20, None), (21, [0.0] * 64), (22, [1.0] * 63), (23, [float("nan")] * 64), (24, [None] * 64), (None, x[1])]
