@@ -19,7 +19,7 @@ from calamus.sources import names
 Query = Callable[[SparkSession, str], DataFrame]
 FEATURES, PAIRS, SEED, EVERY = 1000, 500, 1066, 100
 VIEW = Config(n_features=FEATURES, n_pairs=PAIRS, metric="minmax", model="tf", control_pairs=True, seed=SEED)
-BOOT = impostors.Bootstrap(iterations=5, n_potential=30, n_actual=10, top_rank=1, n_features=200, random_prop=0.5, filter_authors=True, seed=SEED)
+BOOT = impostors.Bootstrap(n_features=FEATURES, filter_authors=True, seed=SEED)
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -200,7 +200,7 @@ def scores_joint_scaled(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def boot_input(spark: SparkSession, sf: str) -> tuple[Verification, DataFrame]:
-    v = sample(spark, sf, n_features=BOOT.n_features, n_pairs=20)
+    v = sample(spark, sf, n_features=BOOT.n_features)
     return v, materialize(v.pairs("dev"), "pairs")
 
 
