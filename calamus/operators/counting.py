@@ -19,11 +19,12 @@ def ngram_counts(docs: DataFrame, n: int = 4) -> DataFrame:
     return term_counts(docs, char_ngrams(F.col("words"), n))
 
 
-def vocabulary(counts: DataFrame, k: int, min_df: int = 2, binary: bool = False) -> DataFrame:
+def vocabulary(counts: DataFrame, k: int | None, min_df: int = 2, binary: bool = False) -> DataFrame:
     """(term, cf, df): terms in at least `min_df` documents, the `k` with the highest corpus frequency; with `binary`
-    document frequency ranks, since counts are cut to 1 first. Ties go to the smaller term. At most k rows."""
+    document frequency ranks, since counts are cut to 1 first. Ties go to the smaller term. At most k rows;
+    all with k None."""
     each = counts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
-    return each.orderBy(F.desc("df" if binary else "cf"), "term").limit(k)
+    return each if k is None else each.orderBy(F.desc("df" if binary else "cf"), "term").limit(k)
 
 
 def corpus_stats(docs: DataFrame) -> DataFrame:

@@ -7,13 +7,15 @@ from pyspark.sql import functions as F
 
 from calamus.functions.numeric import let, logaddexp
 from calamus.operators.counting import vocabulary
+from calamus.session import broadcast_if_small
 
 MODELS = ("tf", "std", "tfidf", "plm", "bin")
 
 
-def restrict(counts: DataFrame, vocab: DataFrame) -> DataFrame:
-    """Counts of the vocabulary's terms with their cf and df. The vocabulary has at most as many rows as it was cut to."""
-    return counts.join(F.broadcast(vocab), "term")
+def restrict(counts: DataFrame, vocab: DataFrame, whole: bool = False) -> DataFrame:
+    """Counts of the vocabulary's terms with their cf and df. The vocabulary has at most as many rows as it was cut to; a
+    `whole` one has no such bound and is broadcast only where it is counted small."""
+    return counts.join(broadcast_if_small(vocab) if whole else F.broadcast(vocab), "term")
 
 
 def unit_length(values: DataFrame) -> DataFrame:
@@ -76,9 +78,9 @@ def _em(items: Column, start: Column, weight: float, iterations: int, eps: float
 
 def plm(counts: DataFrame, vocab: DataFrame, weight: float = 0.1, iterations: int = 50, eps: float | None = 0.01, dense: bool = False) -> DataFrame:
     """(doc_id, term, value): the parsimonious language model of each document against the corpus. `dense` starts from the
-    document's own shares and always runs all iterations; otherwise all terms start equal."""
+    document's own shares, always runs all iterations and takes a whole vocabulary; otherwise all terms start equal."""
     pc = background(vocab, weight)
-    rows = counts.select("doc_id", "term", "tf").join(F.broadcast(pc), "term")
+    rows = counts.select("doc_id", "term", "tf").join(broadcast_if_small(pc) if dense else F.broadcast(pc), "term")
     item = F.struct("term", F.col("tf").cast("double").alias("tf"), "pc")
     docs = rows.groupBy("doc_id").agg(F.sort_array(F.collect_list(item)).alias("items"))
     total = F.aggregate("items", F.lit(0.0), lambda a, x: a + x["tf"])
@@ -96,7 +98,7 @@ def top_terms(model: DataFrame, k: int) -> DataFrame:
 def cross_entropy(queries: DataFrame, model: DataFrame, pc: DataFrame, weight: float = 0.1) -> DataFrame:
     """(q, doc_id, ce): minus the sum over the query's terms of its probability times logaddexp(pc, ln p + weight), p the
     document's; a term the document lacks counts with pc alone. Linear and logarithmic terms meet there as originally."""
-    q = queries.join(F.broadcast(pc), "term").select(F.col("doc_id").alias("q"), "term", F.col("value").alias("pq"), "pc")
+    q = queries.join(broadcast_if_small(pc), "term").select(F.col("doc_id").alias("q"), "term", F.col("value").alias("pq"), "pc")
     base = q.groupBy("q").agg(F.sum(F.col("pq") * F.col("pc")).alias("base"))
     more = F.col("pq") * (logaddexp(F.col("pc"), F.ln("value") + weight) - F.col("pc"))
     met = q.join(model.where("value > 0"), "term").groupBy("q", "doc_id").agg(F.sum(more).alias("more"))

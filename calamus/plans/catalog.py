@@ -127,8 +127,8 @@ def vsm(model: str) -> Query:
 
 def dense_model(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     counts = materialize(counting.term_counts(docs(spark, sf)), "counts")
-    v = materialize(counting.vocabulary(counts, FEATURES, 1), "vocabulary")
-    return materialize(weighting.plm(weighting.restrict(counts, v), v, 0.1, 20, None, dense=True), "dense"), weighting.background(v, 0.1)
+    v = materialize(counting.vocabulary(counts, None, 1), "vocabulary")
+    return materialize(weighting.plm(weighting.restrict(counts, v, whole=True), v, 0.1, 50, None, dense=True), "dense"), weighting.background(v, 0.1)
 
 
 def plm_dense(spark: SparkSession, sf: str) -> DataFrame:

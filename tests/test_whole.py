@@ -13,6 +13,16 @@ def restated(sql, part, whole):
     return sql.replace(part, whole)
 
 
+def whole_dense(name):
+    whole = f"{oracle.DOCS}, {oracle.CNT}, {oracle.voc(10**9, 1)}, {oracle.KEPT}, {oracle.em('tf / sum(tf) over (partition by doc_id)', 50, None)}"
+    return restated(SQL[name], oracle.DENSE, whole)
+
+
+@pytest.mark.parametrize("name", ["plm_dense", "plm_topk"])
+def test_whole_dense_model(name, spark, sf, duck):
+    assert_same(QUERIES[name](spark, sf), duck, whole_dense(name))
+
+
 @pytest.mark.parametrize("name", ["impostor_topk", "impostor_sigma_top1", "impostor_sigma_mrr", "impostor_sigma_cityblock"])
 def test_impostors_of_all_pairs(name, spark, sf, duck):
     assert (catalog.BOOT.iterations, catalog.BOOT.n_features) == (10, 1000)
