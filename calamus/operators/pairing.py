@@ -20,17 +20,22 @@ def both_stems_agree(a: Column, b: Column) -> Column:
     return (F.instr(a, "_") > 0) & (F.instr(b, "_") > 0) & (title_stem(a) == title_stem(b))
 
 
-def against_all(queries: DataFrame, docs: DataFrame, control: bool = False, block: int = 2000, spread: int = 32) -> DataFrame:
-    """(i, j, author_i, author_j, title_i, title_j, label): each query document with every other document. With `control`,
-    pairs whose title stems agree are left out.
+def crossed(queries: DataFrame, docs: DataFrame, i: str, j: str, block: int = 2000, spread: int = 32) -> DataFrame:
+    """Every row of `queries` (id `i`) with every row of `docs` (id `j`).
 
     Queries are cut into blocks of about `block`; every document meets each block once, in one of `spread` parts, by an
     equality join on (block, part): no side is broadcast or held whole."""
-    side = lambda df, s: df.select(F.col("doc_id").alias(s), F.col("author").alias(f"author_{s}"), F.col("title").alias(f"title_{s}"))
     blocks = 1 + queries.count() // block
-    q = side(queries, "i").withColumn("_block", F.pmod(F.xxhash64("i"), F.lit(blocks))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
-    d = side(docs, "j").withColumn("_part", F.pmod(F.xxhash64("j"), F.lit(spread)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
-    pairs = q.join(d, ["_block", "_part"]).where("i <> j").drop("_block", "_part")
+    q = queries.withColumn("_block", F.pmod(F.xxhash64(i), F.lit(blocks))).withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    d = docs.withColumn("_part", F.pmod(F.xxhash64(j), F.lit(spread)).cast("int")).withColumn("_block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))))
+    return q.join(d, ["_block", "_part"]).drop("_block", "_part")
+
+
+def against_all(queries: DataFrame, docs: DataFrame, control: bool = False, block: int = 2000, spread: int = 32) -> DataFrame:
+    """(i, j, author_i, author_j, title_i, title_j, label): each query document with every other document. With `control`,
+    pairs whose title stems agree are left out."""
+    side = lambda df, s: df.select(F.col("doc_id").alias(s), F.col("author").alias(f"author_{s}"), F.col("title").alias(f"title_{s}"))
+    pairs = crossed(side(queries, "i"), side(docs, "j"), "i", "j", block, spread).where("i <> j")
     if control:
         pairs = pairs.where(~both_stems_agree(F.col("title_i"), F.col("title_j")))
     return pairs.withColumn("label", label(F.col("author_i"), F.col("author_j")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from calamus.functions.numeric import let, logaddexp
 from calamus.operators.counting import vocabulary
+from calamus.operators.pairing import crossed
 from calamus.session import broadcast_if_small
 
 MODELS = ("tf", "std", "tfidf", "plm", "bin")
@@ -97,12 +98,13 @@ def top_terms(model: DataFrame, k: int) -> DataFrame:
 
 def cross_entropy(queries: DataFrame, model: DataFrame, pc: DataFrame, weight: float = 0.1) -> DataFrame:
     """(q, doc_id, ce): minus the sum over the query's terms of its probability times logaddexp(pc, ln p + weight), p the
-    document's; a term the document lacks counts with pc alone. Linear and logarithmic terms meet there as originally."""
+    document's; a term the document lacks counts with pc alone, also where it lacks them all: every query meets every document. Linear and logarithmic terms meet there as originally."""
     q = queries.join(broadcast_if_small(pc), "term").select(F.col("doc_id").alias("q"), "term", F.col("value").alias("pq"), "pc")
     base = q.groupBy("q").agg(F.sum(F.col("pq") * F.col("pc")).alias("base"))
     more = F.col("pq") * (logaddexp(F.col("pc"), F.ln("value") + weight) - F.col("pc"))
     met = q.join(model.where("value > 0"), "term").groupBy("q", "doc_id").agg(F.sum(more).alias("more"))
-    return met.join(base, "q").select("q", "doc_id", (-(F.col("base") + F.col("more"))).alias("ce"))
+    every = crossed(base, model.select("doc_id").distinct(), "q", "doc_id")
+    return every.join(met, ["q", "doc_id"], "left").select("q", "doc_id", (-(F.col("base") + F.coalesce("more", F.lit(0.0)))).alias("ce"))
 
 
 def rank_models(entropies: DataFrame) -> DataFrame:
