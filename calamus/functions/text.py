@@ -58,7 +58,7 @@ def terms_of(tokens: Column) -> Column:
 
 def char_ngrams(words: Column, n: int = 4) -> Column:
     """Character n-grams of each word padded as `%word$`. A word of at most `n` letters is kept whole; of a longer one
-    the last two windows of the padded form are left out, so `$` never shows there (kept from the original definition)."""
+    the last two windows of the padded form are left out, so `$` never shows there."""
     size = F.lit(n)
     return F.flatten(
         F.transform(

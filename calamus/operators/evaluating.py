@@ -15,7 +15,7 @@ def _truth(scores: DataFrame) -> DataFrame:
 
 
 def f1(p: Column, r: Column) -> Column:
-    """2 P R / (P + R): the F1 value, though it is parametrised as F2 where it comes from. NULL for 0/0."""
+    """2 P R / (P + R): the F1 value. NULL for 0/0."""
     return ratio(2 * p * r, p + r)
 
 
@@ -45,7 +45,7 @@ def at_threshold(scores: DataFrame, threshold: float) -> DataFrame:
 
 
 def average_precision(scores: DataFrame, method: str = "trapezoid") -> DataFrame:
-    """Area under the curve, from recall 0 at precision 1: by trapezoids (as the original's library did) or by steps."""
+    """Area under the curve, from recall 0 at precision 1: by trapezoids or by steps."""
     order = Window.orderBy(F.desc("threshold"))
     c = pr_curve(scores).withColumn("p0", F.coalesce(F.lag("precision").over(order), F.lit(1.0))).withColumn("r0", F.coalesce(F.lag("recall").over(order), F.lit(0.0)))
     high = (F.col("precision") + F.col("p0")) / 2 if method == "trapezoid" else F.col("precision")
@@ -53,7 +53,7 @@ def average_precision(scores: DataFrame, method: str = "trapezoid") -> DataFrame
 
 
 def best_point(scores: DataFrame) -> DataFrame:
-    """The curve's point of maximal F1 (called break-even point where it comes from); the highest threshold of equal ones."""
+    """The curve's point of maximal F1; the highest threshold of equal ones."""
     return pr_curve(scores).where("f1 is not null").orderBy(F.desc(F.round("f1", 12)), F.desc("threshold")).limit(1)
 
 

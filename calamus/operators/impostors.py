@@ -56,7 +56,7 @@ def sigmas(pairs: DataFrame, background: DataFrame, dtm: DataFrame, terms: DataF
     drawn twice counts twice, one beyond the vocabulary not at all); the target's rank is 1 plus the number of impostors nearer
     to i, ties in its favour. With top_rank 1 the reward is 1 for rank 1; else 1/rank up to rank top_rank + 1 (one more
     than the name says, kept). Draws are keyed hashes: (pair, iteration, draw). The work is pairs x iterations x
-    impostors x shared features, so the number of pairs is a parameter, as it is originally.
+    impostors x shared features, so the number of pairs is a parameter.
     """
     near = potential(pairs, background, dtm, metric, how)
     have = near.groupBy("i", "j").agg(F.count(F.lit(1)).alias("have"))

@@ -58,7 +58,7 @@ def background(vocab: DataFrame, weight: float) -> DataFrame:
 
 def _em(items: Column, start: Column, weight: float, iterations: int, eps: float | None) -> Column:
     """EM over one document as a fold in the JVM. An `eps` stops a document when no term differs by as much from the scaled
-    estimate of its own iteration (kept from the original, where it seldom does)."""
+    estimate of its own iteration (which is seldom)."""
 
     def step(p: Column) -> Column:
         scaled = F.transform(p, lambda x: x * weight)
@@ -98,7 +98,7 @@ def top_terms(model: DataFrame, k: int) -> DataFrame:
 
 def cross_entropy(queries: DataFrame, model: DataFrame, pc: DataFrame, weight: float = 0.1) -> DataFrame:
     """(q, doc_id, ce): minus the sum over the query's terms of its probability times logaddexp(pc, ln p + weight), p the
-    document's; a term the document lacks counts with pc alone, also where it lacks them all: every query meets every document. Linear and logarithmic terms meet there as originally."""
+    document's; a term the document lacks counts with pc alone, also where it lacks them all: every query meets every document. Linear and logarithmic terms meet there."""
     q = queries.join(broadcast_if_small(pc), "term").select(F.col("doc_id").alias("q"), "term", F.col("value").alias("pq"), "pc")
     base = q.groupBy("q").agg(F.sum(F.col("pq") * F.col("pc")).alias("base"))
     more = F.col("pq") * (logaddexp(F.col("pc"), F.ln("value") + weight) - F.col("pc"))

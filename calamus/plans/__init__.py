@@ -1 +1 @@
-"""Composed plans: the verification protocol, sweeps and the query catalogue."""
+"""Composed plans: the same-author protocol, sweeps and the query catalogue."""

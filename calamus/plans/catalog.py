@@ -11,7 +11,7 @@ from calamus.functions import text as T
 from calamus.functions.numeric import log_sum_exp, percent
 from calamus.operators import counting, evaluating, impostors, matrix, pairing, scoring, smoothing, splitting, weighting
 from calamus.operators import distances as dist
-from calamus.plans.verification import Config, Verification
+from calamus.plans.protocol import Config, SameAuthor
 from calamus.session import materialize
 from calamus.sources import corpus as source
 from calamus.sources import names
@@ -176,11 +176,11 @@ def distance(metric: str) -> Query:
     return lambda spark, sf: searched(spark, sf, metric)[1].select("i", "j", "label", F.round(metric, 6).alias("dist"))
 
 
-def sample(spark: SparkSession, sf: str, **options) -> Verification:
+def sample(spark: SparkSession, sf: str, **options) -> SameAuthor:
     from dataclasses import replace
 
     d = materialize(splitting.split_authors(docs(spark, sf)), "docs")
-    return Verification(replace(VIEW, **options)).vectorize(d)
+    return SameAuthor(replace(VIEW, **options)).vectorize(d)
 
 
 def fitted(spark: SparkSession, sf: str, **options) -> DataFrame:
@@ -199,7 +199,7 @@ def scores_joint_scaled(spark: SparkSession, sf: str) -> DataFrame:
     return predicted(spark, sf).select("phase", "i", "j", "label", F.round("score", 6).alias("score"))
 
 
-def boot_input(spark: SparkSession, sf: str) -> tuple[Verification, DataFrame]:
+def boot_input(spark: SparkSession, sf: str) -> tuple[SameAuthor, DataFrame]:
     v = sample(spark, sf, n_features=BOOT.n_features)
     return v, materialize(v.pairs("dev"), "pairs")
 

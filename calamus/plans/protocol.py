@@ -1,4 +1,4 @@
-"""Authorship verification: vectorise, pair, score, fit and predict."""
+"""Same-author testing: vectorise, pair, score, fit and predict."""
 
 from __future__ import annotations
 
@@ -19,7 +19,7 @@ from calamus.session import materialize
 
 @dataclass(frozen=True)
 class Config:
-    """What a verification run depends on; the defaults are the original's."""
+    """What a run depends on."""
 
     n_features: int = 1000
     random_prop: float = 0.5
@@ -52,7 +52,7 @@ class Config:
         return imp.Bootstrap(self.iterations, self.n_potential, self.n_actual, self.top_rank, self.n_features, self.random_prop, self.sample_authors, self.sample_features, False, self.seed)
 
 
-class Verification:
+class SameAuthor:
     """Documents are (doc_id, author, title, words, phase), phase dev or test; vectors are fitted on both together. Vectors are
     written to the shared folder once and used by every later step."""
 
@@ -62,7 +62,7 @@ class Verification:
         self.dtm: DataFrame | None = None
         self.vocab: DataFrame | None = None
 
-    def vectorize(self, docs: DataFrame) -> Verification:
+    def vectorize(self, docs: DataFrame) -> SameAuthor:
         c = self.config
         self.docs = docs
         counts = ngram_counts(docs, c.ngram) if c.features == "chars" else term_counts(docs)

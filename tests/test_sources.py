@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from calamus.plans.verification import Config, Verification
+from calamus.plans.protocol import Config, SameAuthor
 from calamus.sources import corpus, names, tables
 from calamus.streaming import counts
 
@@ -34,12 +34,12 @@ def test_tables_round_trip(spark, tmp_path):
     assert tables.read_table(spark, str(tmp_path / "p"), "\t").first()["kind"] == "SADP"
 
 
-def test_verification_runs(spark, sf):
+def test_protocol_runs(spark, sf):
     from calamus.operators.splitting import split_authors
 
     docs = split_authors(corpus.records(spark.read.parquet(f"{sf}/corpus.parquet")))
     for options in ({"features": "chars", "model": "plm"}, {"sample_authors": True, "sample_features": True, "iterations": 2, "n_potential": 5, "n_actual": 3}):
-        v = Verification(metric="minmax", n_features=100, n_pairs=10, **options).vectorize(docs)
+        v = SameAuthor(metric="minmax", n_features=100, n_pairs=10, **options).vectorize(docs)
         got = v.predict()
         assert got.where("score < 0 or score > 1").count() == 0 and got.count() > 0
         assert v.fit().count() > 0
