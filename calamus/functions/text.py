@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 #: Runs of word characters other than decimal digits.
 WORD = r"([\p{L}\p{Nl}\p{No}_]+)"
 MARKS = r"\p{Mn}+"
+#: A word and its repetitions in a sorted list; possessive, so that long runs need no stack.
+RUN = r"(?<![^ ])([^ ]+)(?: \1(?![^ ]))*+"
 
 
 @lru_cache(maxsize=1)
@@ -37,8 +39,9 @@ def deaccent(c: Column) -> Column:
 
 
 def normalize(c: Column) -> Column:
-    """Lower case, accents dropped."""
-    return deaccent(F.lower(c))
+    """Lower case, accents dropped. The costly step runs only on texts with more bytes than characters."""
+    low = F.lower(c)
+    return F.when(F.octet_length(low) > F.length(low), deaccent(low)).otherwise(low)
 
 
 def tokenize(c: Column) -> Column:
@@ -51,6 +54,20 @@ def token_count(c: Column) -> Column:
     return F.regexp_count(F.regexp_replace(c, MARKS, ""), F.lit(WORD)).cast("bigint")
 
 
+def runs(words: Column) -> Column:
+    """The different words of an array in order, each repeated (blank between) as often as it occurs: counting inside the row,
+    so that nothing has to be shuffled for it. For words without blanks; `run_term` and `run_count` read a run."""
+    return F.regexp_extract_all(F.array_join(F.sort_array(words), " "), F.lit(RUN), F.lit(0))
+
+
+def run_term(run: Column) -> Column:
+    return F.substring_index(run, " ", 1)
+
+
+def run_count(run: Column, term: Column) -> Column:
+    return ((F.octet_length(run) + 1) / (F.octet_length(term) + 1)).cast("bigint")
+
+
 def terms_of(tokens: Column) -> Column:
     """T1 applied to every element of a token list: an element may yield no term or several; NULL elements yield none."""
     return tokenize(F.array_join(tokens, " "))

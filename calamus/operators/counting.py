@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from calamus.functions.arrays import elements
 from calamus.functions.text import char_ngrams
 
 
 def term_counts(docs: DataFrame, words: Column | str = "words") -> DataFrame:
     """(doc_id, term, tf)."""
     words = F.col(words) if isinstance(words, str) else words
-    return docs.select("doc_id", F.explode(words).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
+    return elements(docs, ["doc_id"], words, "term").groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
 def ngram_counts(docs: DataFrame, n: int = 4) -> DataFrame:
@@ -31,7 +32,7 @@ def corpus_stats(docs: DataFrame) -> DataFrame:
     """One row per phase: words, different words, authors, documents, and ordered pairs by the same and by different authors.
     Pairs are counted from authors' document numbers, never built."""
     words = docs.groupBy("phase").agg(F.sum(F.size("words")).alias("total_words"), F.count_distinct("author").alias("authors"), F.count(F.lit(1)).alias("docs"))
-    unique = docs.select("phase", F.explode("words").alias("w")).distinct().groupBy("phase").agg(F.count(F.lit(1)).alias("unique_words"))
+    unique = elements(docs, ["phase"], "words", "w").distinct().groupBy("phase").agg(F.count(F.lit(1)).alias("unique_words"))
     same = docs.groupBy("phase", "author").agg(F.count(F.lit(1)).alias("c")).groupBy("phase").agg(F.sum(F.col("c") * (F.col("c") - 1)).alias("sadps"))
     out = words.join(unique, "phase", "left").join(same, "phase")
     return out.select("phase", "total_words", F.coalesce("unique_words", F.lit(0)).alias("unique_words"), "authors", "docs", "sadps", (F.col("docs") * (F.col("docs") - 1) - F.col("sadps")).alias("dadps"))

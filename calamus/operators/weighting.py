@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from calamus.functions.arrays import elements
 from calamus.functions.numeric import let, logaddexp
 from calamus.operators.counting import vocabulary
 from calamus.operators.pairing import crossed
@@ -87,7 +88,7 @@ def plm(counts: DataFrame, vocab: DataFrame, weight: float = 0.1, iterations: in
     total = F.aggregate("items", F.lit(0.0), lambda a, x: a + x["tf"])
     start = F.transform("items", lambda x: x["tf"] / total) if dense else F.transform("items", lambda x: F.lit(1.0) / F.size("items"))
     fitted = docs.select("doc_id", F.arrays_zip(F.col("items.term").alias("term"), _em(F.col("items"), start, weight, iterations, None if dense else eps).alias("value")).alias("z"))
-    return fitted.select("doc_id", F.explode("z").alias("z")).select("doc_id", F.col("z.term").alias("term"), F.col("z.value").alias("value"))
+    return elements(fitted, ["doc_id"], "z", "z").select("doc_id", F.col("z.term").alias("term"), F.col("z.value").alias("value"))
 
 
 def top_terms(model: DataFrame, k: int) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from calamus.functions import text as T
+from calamus.functions.arrays import elements
 from calamus.functions.numeric import log_sum_exp, percent
 from calamus.operators import counting, evaluating, impostors, matrix, pairing, scoring, smoothing, splitting, weighting
 from calamus.operators import distances as dist
@@ -45,13 +46,13 @@ def deaccent(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def char_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    return docs(spark, sf).select(F.explode(T.char_ngrams(F.col("words"), 4)).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    return elements(docs(spark, sf), [], T.char_ngrams(F.col("words"), 4), "gram").groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
 
 
 def distinct_ngrams(spark: SparkSession, sf: str) -> DataFrame:
-    each = docs(spark, sf).select(F.explode("words").alias("w")).distinct()
+    each = elements(docs(spark, sf), [], "words", "w").distinct()
     grams = F.flatten(F.array(*[_tagged(n) for n in (2, 3, 4, 5)]))
-    return each.select(F.explode(grams).alias("g")).select(F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).distinct().groupBy("n").agg(F.count(F.lit(1)).alias("grams"))
+    return elements(each, [], grams, "g").select(F.col("g.n").alias("n"), F.col("g.gram").alias("gram")).distinct().groupBy("n").agg(F.count(F.lit(1)).alias("grams"))
 
 
 def _tagged(n: int):

@@ -29,12 +29,15 @@ def number_unknown(docs: DataFrame, path: str) -> DataFrame:
     return named.unionByName(numbered)
 
 
-def read_corpus(spark: SparkSession, directory: str, text_cutoff: int = 1_000_000) -> DataFrame:
+def read_corpus(spark: SparkSession, directory: str, text_cutoff: int | None = None) -> DataFrame:
     """(path, author, title, tokens) of a directory with one UTF-8 text per file. Only the base name is looked at, so an
-    underscore in a directory changes nothing. Tokens are cut to the first `text_cutoff`."""
+    underscore in a directory changes nothing. Tokens are cut to the first `text_cutoff`
+    only where that is given."""
     files = spark.read.format("text").option("wholetext", True).load(directory).select(F.col("_metadata.file_path").alias("path"), "value")
     name = F.element_at(F.split("path", "/"), -1)
-    docs = files.select("path", author_of(name).alias("author"), title_of(name).alias("title"), F.slice(T.tokenize(F.col("value")), 1, text_cutoff).alias("tokens"))
+    tokens = T.tokenize(F.col("value"))
+    cut = tokens if text_cutoff is None else F.slice(tokens, 1, text_cutoff)
+    docs = files.select("path", author_of(name).alias("author"), title_of(name).alias("title"), cut.alias("tokens"))
     return number_unknown(docs, "path")
 
 
@@ -51,4 +54,4 @@ def chunk_files(works: DataFrame, size: int = 1000) -> DataFrame:
     """(name, n, text): works cleaned for Latin and cut into full chunks of `size` words, numbered from 1."""
     bare = F.replace(F.col("file_name"), F.lit(".txt"), F.lit(""))
     parts = works.where("text is not null and file_name is not null").select(bare.alias("name"), T.chunks(T.latin_words(F.col("text")), size).alias("parts"))
-    return parts.select("name", F.posexplode("parts").alias("n", "text")).withColumn("n", F.col("n") + 1)
+    return parts.select("name", F.posexplode_outer("parts").alias("n", "text")).where("n is not null").withColumn("n", F.col("n") + 1)
