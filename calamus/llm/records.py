@@ -1,17 +1,30 @@
-"""What the operators share: records delivered again, and sums along an order."""
+"""What the operators share: records delivered again, counts inside records, and sums along an order."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from calamus.functions.text import tokenize
+from calamus.functions.text import run_count, run_term, runs, tokenize
 from calamus.session import materialize, small_enough
 
 
+def record_counts(corpus: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
+    """(_id, head, length, term, tf): the different terms of every record that has a token list, and how often each occurs.
+
+    Terms are counted inside their row, so neither texts nor counts are shuffled. A record without terms has one row with
+    a NULL term; `head` marks one row per record. Records delivered again count once, NULL ids and NULL lists take no part.
+    """
+    rows = once(corpus.where(F.col(tokens_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(tokens_col).alias("_tokens")), "_id")
+    terms = rows.select("_id", tokenize(F.array_join("_tokens", " ")).alias("_terms"))
+    counted = terms.select("_id", F.size("_terms").cast("bigint").alias("length"), runs(F.col("_terms")).alias("_runs"))
+    each = counted.select("_id", "length", F.posexplode_outer("_runs").alias("_at", "_run"))
+    each = each.select("_id", (F.coalesce("_at", F.lit(0)) == 0).alias("head"), "length", run_term(F.col("_run")).alias("term"), "_run")
+    return each.select("_id", "head", "length", "term", run_count(F.col("_run"), F.col("term")).alias("tf"))
+
+
 def record_terms(corpus: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
-    """(id, terms): one row per record that has a token list. Records delivered again count once, NULL ids and NULL
-    lists take no part. Hash-partitioned by id, so counting per record needs no further shuffle."""
+    """(id, terms): one row per record that has a token list. Records delivered again count once."""
     rows = once(corpus.where(F.col(tokens_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(tokens_col).alias("_tokens")), "_id")
     texts = rows.select("_id", F.array_join("_tokens", " ").alias("_text")).repartition("_id")
     return texts.select("_id", tokenize(F.col("_text")).alias("_terms"))
