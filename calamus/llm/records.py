@@ -23,13 +23,6 @@ def record_counts(corpus: DataFrame, id_col: str = "doc_id", tokens_col: str = "
     return each.select("_id", "head", "length", "term", run_count(F.col("_run"), F.col("term")).alias("tf"))
 
 
-def record_terms(corpus: DataFrame, id_col: str = "doc_id", tokens_col: str = "tokens") -> DataFrame:
-    """(id, terms): one row per record that has a token list. Records delivered again count once."""
-    rows = once(corpus.where(F.col(tokens_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(tokens_col).alias("_tokens")), "_id")
-    texts = rows.select("_id", F.array_join("_tokens", " ").alias("_text")).repartition("_id")
-    return texts.select("_id", tokenize(F.col("_text")).alias("_terms"))
-
-
 def once(df: DataFrame, id_col: str) -> DataFrame:
     """One row per id; rows with a NULL id are left out. Only rows whose id occurs again are shuffled, as long as a count
     shows that these ids are few enough to broadcast; else all rows are."""
