@@ -109,7 +109,7 @@ def curves(parts: DataFrame, words: DataFrame, size: int = 120) -> DataFrame:
     best = by.groupBy("passage").agg(F.max(F.struct(F.col("f"), F.col("language"))).alias("best"))
     height = F.when(F.col("types") > 0, F.ln(F.col("c") / F.col("types"))).otherwise(F.lit(0.0))
     return fitted.join(best, "passage", "left").select(
-        "passage", "n", "c", F.col("best.language").alias("language"), (F.coalesce("best.f", F.lit(0)) / F.col("n")).alias("function"), "slope", "residual", height.alias("height")
+        "passage", "n", "c", F.col("best.language").alias("language"), (F.coalesce("best.f", F.lit(0)) / F.col("n")).alias("function"), "slope", "residual", height.alias("height"), F.ln(F.col("n") / F.col("k")).alias("whole_height")
     )
 
 
@@ -119,7 +119,7 @@ def compared(rows: DataFrame, words: DataFrame, drop: float = 4.0, evidence: flo
 
     * divergent: function words are less than 1/`drop` of what is usual, and the Kullback-Leibler divergence from the
       usual share, times the length, is at least `evidence`. No verdict where the page's language is named and has
-      no list of function words: nothing is known of its prose;
+      no list of function words: nothing is known of its prose, and all its terms are compared in height;
     * high, by residual: content terms stand on average exp(`excess`) times as high as in such prose (refrains stay below);
     * high, by slope: `steep` times the usual deviation away from the usual slope, with half that residual.
     """
@@ -128,14 +128,15 @@ def compared(rows: DataFrame, words: DataFrame, drop: float = 4.0, evidence: flo
     usual = rows.where("language is not null").groupBy("language", "bin").agg(
         middle("function").alias("u_function"), middle("height").alias("u_height"), middle("slope").alias("u_slope"), ((middle("slope", 0.84) - middle("slope", 0.16)) / 2).alias("u_dev")
     )
-    whole = rows.groupBy("bin").agg(middle("function").alias("w_function"), middle("height").alias("w_height"))
+    whole = rows.where("language is not null").groupBy("bin").agg(middle("function").alias("w_function"), middle("height").alias("w_height"), middle("whole_height").alias("w_whole"))
     known = words.select(F.col("language").alias("lang"), F.lit(True).alias("_known")).distinct()
     x = rows.join(broadcast_if_small(usual), ["language", "bin"], "left").join(broadcast_if_small(whole), ["bin"], "left").join(broadcast_if_small(known), "lang", "left")
     u = F.least(F.greatest(F.coalesce("u_function", "w_function", F.lit(0.3)), F.lit(0.05)), F.lit(0.95))
     f = F.col("function")
     kl = F.when(f > 0, f * F.ln(f / u)).otherwise(F.lit(0.0)) + F.when(f < 1, (1 - f) * F.ln((1 - f) / (1 - u))).otherwise(F.lit(0.0))
-    divergent = (f * drop < u) & (kl * F.col("n") >= evidence) & (F.col("lang").isNull() | F.col("_known").isNotNull())
-    above = F.col("height") - F.coalesce("u_height", "w_height", F.lit(0.0))
+    foreign = F.col("lang").isNotNull() & F.col("_known").isNull()
+    divergent = (f * drop < u) & (kl * F.col("n") >= evidence) & ~foreign
+    above = F.when(foreign, F.col("whole_height") - F.coalesce("w_whole", F.lit(0.0))).otherwise(F.col("height") - F.coalesce("u_height", "w_height", F.lit(0.0)))
     high = (above >= excess) & (F.col("c") >= 6)
     sloped = (F.abs(F.col("slope") - F.col("u_slope")) >= steep * F.greatest(F.col("u_dev"), F.lit(0.01))) & (above >= excess / 2 + 0.15) & (F.col("c") >= 12)
     return x.withColumn("high", F.coalesce(high, F.lit(False)) | F.coalesce(sloped, F.lit(False))).withColumn("divergent", F.coalesce(divergent, F.lit(False)))
@@ -149,24 +150,26 @@ def name_terms(parts: DataFrame, vocab: DataFrame, share: float = 0.9, evidence:
 
 
 def registers(parts: DataFrame, suspects: DataFrame, vocab: DataFrame, share: float = 0.4) -> DataFrame:
-    """(passage): suspects of which at least `share` of all terms are names. A list of persons or places has no function
-    words either, but it isn't keywords: what it lists is written with a capital wherever it occurs."""
-    terms = materialize(term_rows(parts.join(broadcast_if_small(suspects), "passage", "left_semi"), "passage"), "p9-suspects")
-    named = terms.join(name_terms(parts, vocab), "term", "left_semi").groupBy("passage").agg(F.sum("n").alias("names"))
-    every = terms.groupBy("passage").agg(F.sum("n").alias("of"))
-    return every.join(named, "passage").where(F.col("names") >= share * F.col("of")).select("passage")
+    """(passage): suspects (passage, high) of which at least `share` of all terms are names. A list of persons or places has no
+    function words either, but it isn't keywords: what it lists is written with a capital wherever it occurs. If it is high, what
+    is no name must differ from entry to entry as well (at least `share` different terms), or it repeats keywords between names."""
+    terms = materialize(term_rows(parts.join(broadcast_if_small(suspects), "passage"), "passage", "high"), "p9-suspects")
+    named = terms.join(name_terms(parts, vocab), "term", "left_semi").groupBy("passage").agg(F.sum("n").alias("names"), F.count(F.lit(1)).alias("name_types"))
+    every = terms.groupBy("passage", "high").agg(F.sum("n").alias("of"), F.count(F.lit(1)).alias("types"))
+    differs = F.col("types") - F.col("name_types") >= share * (F.col("of") - F.col("names"))
+    return every.join(named, "passage").where((F.col("names") >= share * F.col("of")) & (~F.col("high") | differs)).select("passage")
 
 
 def judged(parts: DataFrame, size: int = 120, **cuts: float) -> DataFrame:
-    """(_id, passage, n_words, spam) of every passage: spam if its curve is too high, or divergent and no register of names."""
+    """(_id, passage, n_words, spam) of every passage: spam if its curve is too high or divergent, and it is no register of names."""
     vocab = vocabulary(parts)
     words = function_words(parts, vocab)
     facts = parts.select("_id", "passage", "lang", "n_words")
     rows = materialize(curves(parts, words, size).join(facts, "passage"), "p9-curves")
     verdicts = materialize(compared(rows, words, **cuts).select("_id", "passage", "n_words", "high", "divergent"), "p9-verdicts")
-    lists = registers(parts, verdicts.where("divergent and not high").select("passage"), vocab).withColumn("_register", F.lit(True))
+    lists = registers(parts, verdicts.where("divergent or high").select("passage", "high"), vocab).withColumn("_register", F.lit(True))
     out = verdicts.join(broadcast_if_small(lists), "passage", "left")
-    out = out.select("_id", "passage", "n_words", (F.col("high") | F.col("divergent") & F.col("_register").isNull()).alias("spam"))
+    out = out.select("_id", "passage", "n_words", ((F.col("high") | F.col("divergent")) & F.col("_register").isNull()).alias("spam"))
     mute = parts.where(F.size("runs") == 0).select("_id", "passage", "n_words", F.lit(False).alias("spam"))  # nothing but signs
     return out.unionByName(mute)
 
