@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calamus.functions.hashing import key
 from calamus.functions.text import token_count
 from calamus.llm.records import running_sum
-from calamus.session import materialize
+from calamus.session import broadcast_if_small, materialize
 
 
 def _source():
@@ -16,23 +18,26 @@ def _source():
 
 
 def sized_documents(docs: DataFrame) -> DataFrame:
-    """(doc_id, source, n_tokens, bucket, shuffle): texts with a source, in a fixed shuffled order that starts with `bucket`."""
+    """(doc_id, source, n_tokens, shuffle): texts with a source, and their place in a fixed shuffled order."""
     return docs.where(F.col("source").isNotNull()).select(
         "doc_id", _source().alias("source"), F.coalesce(token_count(F.col("text")), F.lit(0)).alias("n_tokens"), key("mix", F.col("doc_id")).alias("shuffle")
-    ).withColumn("bucket", F.substring("shuffle", 1, 2))
+    )
 
 
-def schedule(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
+def schedule(docs: DataFrame, targets: DataFrame, budget: int | None = None, per_task: int = 20_000) -> tuple[DataFrame, DataFrame]:
     """Weighted fair queueing of document copies. Returns
 
     * the schedule (mix_name, doc_id, source, copies): how often each document is taken in each mix;
-    * the report (mix_name, source, target_share, max_copies, size, total, tokens, share, short): what each source has
-      reached. `short` is true where its share of `total`, the budget, exceeds `max_copies` times its size.
+    * the report (mix_name, source, target_share, max_copies, size, total, tokens, share, reachable, short): what each
+      source has reached. `short` is true where the queue has handed out every copy of a source and that is less than its
+      share of `total`, the budget; `reachable` is the largest budget at which the source keeps its share, so with the
+      least of a mix's as `budget` all its targets hold. With a larger one, others fill up what a short source leaves.
 
     Documents of a source stand in shuffled order, copy after copy; the virtual finish time of a copy is the tokens of its
     source up to and including it, divided by the source's weight. Copies of a mix are taken in the order of finish time
-    until the total budget is spent. Running sums are made per (source, hash bucket) and per time slice, so a source
-    with a third of all texts is spread like any other; only sums per source (as many as mix_targets has) are joined back.
+    until the budget (the tokens of all documents with a source, unless given) is spent. Running sums are made per (source,
+    hash bucket) and per time slice, both as many as make about `per_task` rows each, so a source with a third of all texts
+    is spread like any other; only sums per source (as many as mix_targets has) are joined back.
 
     Defined results: texts with a NULL source belong to no mix; NULL texts have size 0 and are taken as their turn comes;
     sources are compared trimmed and in lower case; a source named in a mix without documents is reported with size 0;
@@ -45,22 +50,22 @@ def schedule(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]
         .dropDuplicates(["mix_name", "source"])
     )
     sizes = sized.groupBy("source").agg(F.sum("n_tokens").alias("size"))
-    total = sized.agg(F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total"))
-    goals = materialize(
-        wanted.join(sizes, "source", "left").crossJoin(F.broadcast(total)).withColumn("size", F.coalesce("size", F.lit(0)))
-        .withColumn("short", F.col("target_share") * F.col("total") > F.col("max_copies") * F.col("size")),
-        "p8-goals",
-    )
-    queued = running_sum(sized, ["source"], "bucket", ["shuffle", "doc_id"], "n_tokens", "at")
+    whole = sized.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_tokens"), F.lit(0)).alias("total")).first()
+    n_docs, total = whole["n"], whole["total"] if budget is None else budget
+    goals = materialize(wanted.join(sizes, "source", "left").withColumn("size", F.coalesce("size", F.lit(0))).withColumn("total", F.lit(total).cast("bigint")), "p8-goals")
+    digits = max(1, math.ceil(math.log(max(n_docs / per_task, 1), 16)))
+    queued = running_sum(sized.withColumn("bucket", F.substring("shuffle", 1, digits)), ["source"], "bucket", ["shuffle", "doc_id"], "n_tokens", "at")
     copies = (
-        queued.join(F.broadcast(goals.where((F.col("target_share") > 0) & (F.col("max_copies") > 0))), "source")
+        queued.join(broadcast_if_small(goals.where((F.col("target_share") > 0) & (F.col("max_copies") > 0))), "source")
         .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("max_copies"))))
         .withColumn("finish", ((F.col("copy") - 1) * F.col("size") + F.col("at")) / F.col("target_share"))
         .select("mix_name", "source", "doc_id", "n_tokens", "copy", "finish", "total")
     )
-    # Slices of the finish time, at most a thousandth of the budget each, stand for the range partitions of a global sort;
-    # the time at which a mix has spent its budget is within a factor 1/(share of the sources not yet exhausted).
-    sliced = copies.withColumn("slice", F.floor(1000 * F.log2(1 + F.col("finish") / F.greatest(F.col("total"), F.lit(1)))).cast("bigint"))
+    # Slices of the finish time stand for the range partitions of a global sort. Copies lie evenly in time until a source is
+    # used up, and more thinly then; so slices are even up to the budget and grow with the logarithm beyond it.
+    slices = max(16, n_docs // per_task)
+    time = F.col("finish") / F.lit(float(max(total, 1)))
+    sliced = copies.withColumn("slice", F.floor(slices * F.when(time <= 1, time).otherwise(1 + F.log2(time))).cast("bigint"))
     spent = running_sum(sliced, ["mix_name"], "slice", ["finish", "source", "doc_id", "copy"], "n_tokens", "spent")
     taken = materialize(
         spent.where(F.col("spent") <= F.col("total")).groupBy("mix_name", "source", "doc_id").agg(F.count(F.lit(1)).cast("int").alias("copies"), F.sum("n_tokens").alias("tokens")),
@@ -74,6 +79,10 @@ def schedule(docs: DataFrame, targets: DataFrame) -> tuple[DataFrame, DataFrame]
         .withColumn("tokens", tokens)
         .withColumn("_all", F.sum("tokens").over(mix))
         .withColumn("share", F.when(F.col("_all") > 0, F.col("tokens") / F.col("_all")).otherwise(F.lit(0.0)))
-        .select("mix_name", "source", "target_share", "max_copies", "size", "total", "tokens", "share", "short")
+        .withColumn("_most", F.col("max_copies") * F.col("size"))
+        .withColumn("reachable", F.when(F.col("target_share") > 0, F.floor(F.col("_most") / F.col("target_share"))))
+        # What the queue says, then the exact comparison.
+        .withColumn("short", (F.col("tokens") >= F.col("_most")) & (F.col("target_share") * F.col("total") > F.col("_most")))
+        .select("mix_name", "source", "target_share", "max_copies", "size", "total", "tokens", "share", "reachable", "short")
     )
     return taken.select("mix_name", "doc_id", "source", "copies"), report
