@@ -10,16 +10,17 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from calamus.session import materialize
+from calamus.session import broadcast_if_small, materialize
 
 # Particles of Dutch surnames as they are written, written together, and shortened.
 PARTICLES = frozenset("van von de den der ter ten te het 't vanden vander vande vd v d t vdr vdn".split())
 GLUED = re.compile(r"^(vanden|vander|vande|van|den|der|de|ter|ten|te)$")
-# Ranks and trades put before a name, without their dot.
-RANKS = frozenset("sold soldaat korp korporaal kpl cpl corporal sgt serg sergeant stuurman matroos kapt kapitein capt lt luit luitenant maj majoor kol kolonel bootsman schipper tamboer vaandrig adj adjudant dhr hr heer mr".split())
 # Labels for a writer who is not known, letters only.
-UNKNOWN = ("onbekend", "onbekent", "anoniem", "anonymus", "anonym", "unknown", "onb", "nn", "nomennescio", "zondernaam", "geen", "")
-PARSED = "name string, given string, abbr boolean, surname string, sure boolean"
+UNKNOWN = ("onbekend", "onbekent", "nietbekend", "anoniem", "anonymus", "anonym", "unknown", "onb", "nn", "nomennescio", "zondernaam", "naamloos", "geen", "")
+READING = "given string, abbr boolean, surname string, sure boolean"
+#: A string as read; the word before a full name that was taken for a title; its first two words and how many there are, how it
+#: reads without the first, and the surname without the second.
+PARSED = f"name string, {READING}, title string, first string, second string, initial boolean, n int, r_given string, r_abbr boolean, r_surname string, r_sure boolean, m_surname string"
 
 
 def fold(text: str) -> str:
@@ -44,54 +45,85 @@ def close(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i + 1 :] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i:] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
 
 
-def parse(name: str) -> tuple[str, bool, str, bool] | None:
-    """(given, whether it is abbreviated, surname, whether order was certain), folded to lower-case letters; None for no name.
-
-    Known forms: given [particles] surname; surname, given [particles]; surname given [particles]; surname alone; all of
-    these with a rank before, with blanks lost, and with the given name as initial or abbreviation.
-    """
+def _words(name: str) -> tuple[list[tuple[str, str]], int]:
+    """The words of a name, folded to lower-case letters, each beside how it is written; and how many stand before a comma."""
     text = re.sub(r"([^\W\d_])\.(?=[^\W\d_])", r"\1. ", fold(name))
     text = re.sub(r"(?<=[a-z])(?=[A-Z])", " ", text)
-    comma = "," in text
     words = [(w.rstrip(".,;:"), w) for w in re.split(r"[\s,]+", text.strip(" .,;")) if w.strip(".,;:")]
     words = [(re.sub(r"[^a-z]", "", bare.lower()) if bare.isascii() else "".join(c for c in bare.lower() if c.isalpha()), raw) for bare, raw in words]
-    words = [w for w in words if w[0]]
-    if comma:
-        head = re.split(r",", text, maxsplit=1)[0]
-        n_head = len([w for w in re.split(r"\s+", head.strip()) if w.strip(".,;:")])
-    while len(words) > 1 and words[0][0] in RANKS:
-        words = words[1:]
-        n_head = n_head - 1 if comma else 0
-    if not words:
-        return None
-    # A single capital is an initial, the same letter in lower case a particle.
+    head = re.split(r",", text, maxsplit=1)[0] if "," in text else ""
+    return [w for w in words if w[0]], len([w for w in re.split(r"\s+", head.strip()) if w.strip(".,;:")])
+
+
+def _short(word: str, raw: str) -> bool:
+    return len(word) <= 3 and raw.rstrip(",;:").endswith(".") or len(word) == 1
+
+
+def _core(words: list[tuple[str, str]]) -> tuple[list[tuple[int, str, str]], list[bool]]:
+    """The words that are no particles, with their places, and which words are. A single capital is an initial, the same
+    letter in lower case a particle."""
     marks = [w in PARTICLES and len(words) > 1 and (i > 0 or len(w) > 1) and (len(w) > 1 or raw[0].islower()) for i, (w, raw) in enumerate(words)]
-    core = [(i, w, raw) for i, (w, raw) in enumerate(words) if not marks[i]]
+    return [(i, w, raw) for i, (w, raw) in enumerate(words) if not marks[i]], marks
+
+
+def _read(words: list[tuple[str, str]], n_head: int = 0) -> tuple[str, bool, str, bool] | None:
+    core, marks = _core(words)
     if not core:
         return None
-    short = lambda w, raw: len(w) <= 3 and raw.rstrip(",;:").endswith(".") or len(w) == 1
-    if comma and 0 < n_head < len(words):
+    if 0 < n_head < len(words):
         last = [x for x in core if x[0] < n_head]
         first = [x for x in core if x[0] >= n_head]
         if last and first:
-            return first[0][1], short(*first[0][1:]), "".join(x[1] for x in last), True
+            return first[0][1], _short(*first[0][1:]), "".join(x[1] for x in last), True
     if len(core) == 1:
         return "", False, core[0][1], True
     a, b = core[0], core[1]
     rest = "".join(x[1] for x in core[1:])
-    if short(*a[1:]) and not short(*b[1:]):
+    if _short(*a[1:]) and not _short(*b[1:]):
         return a[1], True, rest, True
-    if short(*b[1:]) and not short(*a[1:]):
+    if _short(*b[1:]) and not _short(*a[1:]):
         return b[1], True, a[1], True
     if marks[-1]:
         return b[1], False, a[1], True
     return a[1], False, rest, any(marks)
 
 
+def _untitled(words: list[tuple[str, str]], n_head: int) -> tuple[list[tuple[str, str]], int, str | None]:
+    """The words without abbreviations that stand, with a dot and more than one letter, before two words of a name or more."""
+    title = None
+    while not n_head and len(_core(words)[0]) > 2 and words[0][1].endswith(".") and len(words[0][0]) > 1 and words[0][0] not in PARTICLES:
+        title, words = words[0][0], words[1:]
+    return words, n_head, title
+
+
+def parse(name: str) -> tuple[str, bool, str, bool] | None:
+    """(given, whether it is abbreviated, surname, whether order was certain), folded to lower-case letters; None for no name.
+
+    Known forms: given [particles] surname; surname, given [particles]; surname given [particles]; surname alone; all of
+    these with an abbreviated rank before, with blanks lost, and with the given name as initial or abbreviation.
+    """
+    words, n_head, _ = _untitled(*_words(name))
+    return _read(words, n_head)
+
+
 def _parse_all(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for f in frames:
-        rows = [(n, *p) for n in f["name"] if not is_unknown(n) and (p := parse(n))]
-        yield pd.DataFrame(rows, columns=["name", "given", "abbr", "surname", "sure"])
+        rows = []
+        for name in f["name"]:
+            if is_unknown(name):
+                continue
+            words, n_head, title = _untitled(*_words(name))
+            plain = _read(words, n_head)
+            if plain is None:
+                continue
+            core = _core(words)[0]
+            first, second, initial, without, middle = None, None, False, (None, None, None, None), None
+            if not n_head and len(core) > 1 and core[0][0] == 0:
+                first, second, initial = core[0][1], core[1][1], _short(*core[1][1:])
+                without = _read(words[1:]) or without
+                middle = "".join(x[1] for x in core[2:]) or None
+            rows.append((name, *plain, title, first, second, initial, len(core), *without, middle))
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in PARSED.split(", ")])
 
 
 def _segments(text: Column, k: int, cut: int) -> Column:
@@ -113,13 +145,44 @@ def swapped(a: Column, b: Column) -> Column:
     )
 
 
+def _titles(parsed: DataFrame, table: DataFrame, evidence: int = 2) -> DataFrame:
+    """Parsed strings with ranks and middle names out of the way: (name, given, abbr, surname, sure).
+
+    A first word that is no listed given name, before a listed one or an initial and a surname, is a title there; what is a
+    title before `evidence` different surnames is one before any name. Of two listed given names the second is a middle name."""
+    listed = lambda c: table.select(F.col("token").alias(c), F.lit(True).alias(f"_{c}"))
+    x = parsed.join(listed("first"), "first", "left").join(listed("second"), "second", "left")
+    rare = F.col("_first").isNull() & F.col("first").isNotNull() & (F.length("first") > 1)
+    x = x.withColumn("titled", F.coalesce(rare & (F.col("n") > 2) & (F.col("initial") | F.col("_second").isNotNull()), F.lit(False)))
+    x = materialize(x.withColumn("middle", F.coalesce((F.col("n") > 2) & F.col("_first") & F.col("_second"), F.lit(False))), "p6-read")
+    seen = x.where("title is not null").select(F.col("title").alias("first"), "surname").unionByName(x.where("titled").select("first", F.col("r_surname").alias("surname")))
+    known = seen.groupBy("first").agg(F.count_distinct("surname").alias("_before")).where(F.col("_before") >= evidence)
+    x = x.join(broadcast_if_small(known), "first", "left")
+    drop = F.col("titled") | rare & F.col("_before").isNotNull()
+    pick = lambda c: F.when(drop & F.col("r_surname").isNotNull(), F.col(f"r_{c}")).otherwise(F.col(c)).alias(c)
+    surname = F.when(F.col("middle") & F.col("m_surname").isNotNull(), F.col("m_surname")).otherwise(F.col("surname"))
+    sure = F.col("middle") | F.col("sure")
+    return x.withColumn("surname", surname).withColumn("sure", sure).select("name", *[pick(c) for c in ("given", "abbr", "surname", "sure")])
+
+
+def _tops(up: DataFrame) -> DataFrame:
+    """(node, root) from (node, parent): chains followed to their end by doubling; every step is a written table."""
+    state = materialize(up.select("node", F.col("parent").alias("root")), "p6-tops")
+    while True:
+        above = state.select(F.col("node").alias("_n"), F.col("root").alias("_r"))
+        jumped = materialize(state.join(above, F.col("root") == F.col("_n"), "left").select("node", F.coalesce("_r", "root").alias("root"), F.col("_r").isNotNull().alias("_moved")), "p6-tops")
+        state = jumped.select("node", "root")
+        if jumped.where("_moved").isEmpty():
+            return state
+
+
 def edit_pairs(words: DataFrame, others: DataFrame, k: int = 1, least: int = 4) -> DataFrame:
     """(word, other): different strings within `k` edits, or one swap of neighbours.
 
     Strings within k edits share one of k + 1 segments, moved by at most k places. The segments of `others` are the
     inverted index, keyed by length, segment number and text; each word looks its substrings up there, once for every
     length, number and shift. A swap across a boundary breaks two segments, so the index holds a second cut one letter
-    on. A banded edit distance decides. Strings shorter than `least` are compared for equality only, so take no part.
+    on. A banded edit distance decides. Strings shorter than `least` (k + 1 or more, so that no segment is empty) take no part.
     """
     o = others.where(F.length("other") >= least)
     cuts = F.array(*[F.struct(F.lit(cut).alias("cut"), _segments(F.col("other"), k, cut).alias("segs")) for cut in (0, 1)])
@@ -171,12 +234,14 @@ def _compatible(a: Column, b: Column) -> Column:
     return (a == b) | a.startswith(b) | b.startswith(a)
 
 
-def persons(names: DataFrame, given_names: DataFrame, min_families: int = 2) -> DataFrame:
+def persons(names: DataFrame, given_names: DataFrame, min_families: int = 2, agreement: float = 0.9) -> DataFrame:
     """(name, person) for the distinct strings of column `name` that can be told to mean one person.
 
     1. Strings are parsed into given name and surname; labels of unknown writers are left out.
-    2. Surnames within one edit are found by `edit_pairs`. One written in at most two strings joins a better supported
-       surname near it, first one with a given name that agrees: slips are rare, families aren't.
+    2. Surnames of three letters or more within one edit are found by `edit_pairs`. One joins a better supported surname near
+       it, first one with given names that agree. In one or two strings any support that is better will do; in more,
+       however many, it takes twice the support and given names that (`agreement` of its strings) the other has as well:
+       slips share their family's given names, other families do not. Slips of slips are followed to the end.
     3. Given names are brought to their full form: by the table of short forms, else to the nearest full or short form
        within one edit, first within the family, then in the table; a form missing from the table is learned where it
        keeps company with a full name that sounds like it (shared pairs of letters, same initial).
@@ -191,23 +256,26 @@ def persons(names: DataFrame, given_names: DataFrame, min_families: int = 2) ->
     pairs = given_names.where("full_name is not null").select(low(F.col("full_name")).alias("full"), low(F.coalesce("short_name", "full_name")).alias("short"))
     table = materialize(pairs.select("full", F.explode(F.array("full", "short")).alias("token")).where("token <> ''").groupBy("token").agg(F.min("full").alias("full")), "p6-table")
     parsed = materialize(strings.mapInPandas(_parse_all, PARSED), "p6-parsed")
-    forms = _orders(parsed, table).where("surname <> ''")
+    forms = _orders(_titles(parsed, table), table).where("surname <> ''")
     # The table is joined by its size: it doesn't grow with the names, and Spark broadcasts it only below its own bound.
     forms = forms.join(table.select(F.col("token").alias("given"), F.col("full").alias("_f")), "given", "left")
     forms = materialize(forms.select("name", "given", "abbr", "surname", F.when(F.col("abbr"), F.col("given")).otherwise(F.coalesce("_f", "given")).alias("key")), "p6-forms")
     # Families
     support = materialize(forms.groupBy("surname").agg(F.count(F.lit(1)).alias("n")), "p6-surnames")
-    near = edit_pairs(support.select(F.col("surname").alias("word")), support.select(F.col("surname").alias("other")))
+    near = edit_pairs(support.select(F.col("surname").alias("word")), support.select(F.col("surname").alias("other")), least=3)
     near = near.join(support.select(F.col("surname").alias("word"), F.col("n").alias("nw")), "word").join(support.select(F.col("surname").alias("other"), F.col("n").alias("no")), "other")
-    near = near.where("nw <= 2 and (no > nw or (no = nw and other < word))")
-    mine = forms.select(F.col("surname").alias("word"), F.col("key").alias("kw")).distinct()
-    theirs = forms.select(F.col("surname").alias("other"), F.col("key").alias("ko")).distinct()
+    near = near.where("no >= 2 * nw or nw <= 2 and (no > nw or (no = nw and other < word))")
+    each = materialize(forms.groupBy("surname", "key").agg(F.count(F.lit(1)).alias("kn")), "p6-keys")
+    mine = each.select(F.col("surname").alias("word"), F.col("key").alias("kw"), "kn")
+    theirs = each.select(F.col("surname").alias("other"), F.col("key").alias("ko"))
     agrees = _compatible(F.col("kw"), F.col("ko")) | (F.levenshtein("kw", "ko", 1) >= 0) & (F.length("kw") > 4)
-    near = near.join(mine, "word").join(theirs, "other").groupBy("word", "other", "nw", "no").agg(F.max(agrees.cast("int")).alias("agree")).where("agree = 1 or no > nw")
+    near = near.join(mine, "word").join(theirs, "other").groupBy("word", "other", "nw", "no", "kw", "kn").agg(F.max(agrees.cast("int")).alias("agree"))
+    near = near.groupBy("word", "other", "nw", "no").agg(F.max("agree").alias("agree"), (F.sum(F.col("agree") * F.col("kn")) / F.sum("kn")).alias("share"))
+    brief = F.least(F.length("word"), F.length("other")) < 5  # one edit is much of so short a name
+    rare = (F.col("nw") <= 2) & ~brief & ((F.col("agree") == 1) | (F.col("no") > F.col("nw")))
+    near = near.where(rare | (F.col("share") >= agreement) & (F.col("no") >= 2 * F.col("nw")))
     near = _most(near, ["word"], F.desc("agree"), F.desc("no"), F.col("other"))
-    near = materialize(near, "p6-near")
-    up = near.select(F.col("word").alias("_w"), F.col("other").alias("_o"))
-    root = near.join(up, F.col("other") == F.col("_w"), "left").select(F.col("word").alias("surname"), F.coalesce("_o", "other").alias("family"))
+    root = _tops(near.select(F.col("word").alias("node"), F.col("other").alias("parent"))).select(F.col("node").alias("surname"), F.col("root").alias("family"))
     forms = materialize(forms.join(root, "surname", "left").withColumn("family", F.coalesce("family", "surname")), "p6-families")
     # Given names
     full = forms.where("not abbr and given <> ''").groupBy("family", "given", "key").agg(F.count(F.lit(1)).alias("n"))
@@ -222,7 +290,11 @@ def persons(names: DataFrame, given_names: DataFrame, min_families: int = 2) ->
     inside = inside.where("sure or oh > homes or (oh = homes and (m > n or (m = n and other < given)))")
     inside = _most(inside, ["family", "given"], F.desc("sure"), F.desc("oh"), F.desc("m"), F.col("to")).select("family", "given", F.col("to").alias("in_to"), F.lit(True).alias("slip"))
     wide = spelled.join(table.select(F.col("token").alias("other"), F.col("full").alias("to")), "other").groupBy("word").agg(F.min("to").alias("lo"), F.max("to").alias("hi"))
-    wide = wide.where("lo = hi").join(homes.withColumnRenamed("given", "word"), "word").where("homes = 1").select(F.col("word").alias("given"), F.col("lo").alias("out_to"))
+    # A form in one family only is a slip of the listed name near it; one in more families is if it is long enough for one
+    # letter not to make another name, and the listed one is in ten times as many.
+    usual = full.where("listed").groupBy(F.col("key").alias("lo")).agg(F.count_distinct("family").alias("used"))
+    wide = wide.where("lo = hi").join(homes.withColumnRenamed("given", "word"), "word").join(usual, "lo", "left")
+    wide = wide.where("homes = 1 or (length(word) > 4 and used >= 10 * homes)").select(F.col("word").alias("given"), F.col("lo").alias("out_to"))
     step = full.join(inside, ["family", "given"], "left").join(wide, "given", "left")
     step = materialize(step.select("family", "given", "listed", F.coalesce("in_to", F.when(~F.col("listed"), F.col("out_to")), "key").alias("to"), (F.col("listed") | F.coalesce("slip", F.lit(False)) | F.col("out_to").isNotNull()).alias("done")), "p6-step")
     # Forms the table lacks: the full name they keep company with.

@@ -69,6 +69,23 @@ def test_forms_missing_from_the_table(spark):
     assert linked(spark, rows) == groups(*[[f"Godefridus {y}", f"Govert {y}"] for y in ("Deslakhust", "Kuldikmol", "Renkvuplep")])
 
 
+def test_a_slip_in_several_strings_and_a_slip_of_a_slip(spark):
+    right = [f"{x} Balbalsuk" for x in ("Gijsbertus", "Gijs", "G.", "GIJSBERTUS", " Gijsbertus", "gijsbertus", "Gijsbertus  ", "Gijs.")]
+    slips = ["Gijsbertus Balbelsuk", "Gijs Balbelsuk", "Balbelsuk, Gijs", "Gijsbertus Balbeksuk"]
+    other = [f"{x} Balbalsum" for x in ("Mauritius", "Mouris", "M.")]  # no slip: its given name is another
+    assert linked(spark, [*right, *slips, *other]) == groups([*right, *slips], other)
+
+
+def test_short_surnames(spark):
+    assert linked(spark, ["Albertus Bios", "Bert Bios", "Bertus Bios", "Albertus Bos"][:2] + ["Albertus Bos"]) == groups(["Albertus Bios", "Bert Bios", "Albertus Bos"])
+
+
+def test_titles_and_middle_names_without_a_list(spark):
+    g = ["Adelborst Gijs van Balbalsuk", "Gijs van Balbalsuk", "Gijsbertus Balbalsuk", "Gijs Mauritius Balbalsuk"]
+    m = ["Adelborst Mouris Deslakhust", "Mauritius Deslakhust", "Adelborst Deslakhust"]
+    assert linked(spark, [*g, *m, "niet bekend", "Niet bekend."]) == groups(g, m)
+
+
 def test_no_names(spark):
     assert linked(spark, []) == set() and linked(spark, [None, "?"], []) == set()
 
@@ -104,6 +121,22 @@ def test_spam_and_genres(spark):
     assert got == set(spam)
 
 
+def test_prose_of_a_rare_language_is_no_spam(spark):
+    rnd = random.Random(5)
+    rows = [(i, prose(rnd, 8), "nl") for i in range(200)]
+    other = ["kaj", "la", "estas", "en", "sed", "ne", "por", "kun"]
+    rows += [(1000 + i, " ".join(rnd.choice(other) if k % 2 else "".join(rnd.choice("bdfgklmnprstv") + rnd.choice("aeiou") for _ in range(3)) for k in range(120)) + ".", "eo") for i in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    assert stuffing.spam_pages(df).count() == 0
+
+
+def test_long_page_in_one_block(spark):
+    rnd = random.Random(6)
+    rows = [(1, prose(rnd, 3000))] + [(2 + i, prose(rnd, 8)) for i in range(40)]
+    parts = stuffing.passages(pages(spark, rows)).where("_id = 1").collect()
+    assert sum(r["n_words"] for r in parts) == len(rows[0][1].split()) and max(r["n_words"] for r in parts) <= 120
+
+
 def test_no_pages(spark):
     assert stuffing.spam_pages(pages(spark, [])).count() == 0
     assert stuffing.spam_pages(pages(spark, [(1, None), (None, "x y z")])).count() == 0
