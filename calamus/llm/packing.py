@@ -129,9 +129,8 @@ def pack(docs: DataFrame, capacity: int = 1024, id_col: str = "doc_id", text_col
     )
 
 
-def divided(packed: DataFrame, capacity: int = 1024, id_col: str = "doc_id") -> DataFrame:
+def divided(packed: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """(id, n_pieces): texts that needed more than one container, counted over their assigned containers."""
-    del capacity
     return packed.groupBy(id_col).agg(F.count_distinct("container").alias("n_pieces")).where(F.col("n_pieces") > 1)
 
 
