@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calamus.functions.numeric import ratio
+from calamus.session import broadcast_if_small, materialize
 
 Parts = dict[str, Column]
 
@@ -71,10 +72,12 @@ def _sides(pairs: DataFrame, dtm: DataFrame) -> DataFrame:
 
 
 def of_pairs(pairs: DataFrame, dtm: DataFrame, *metrics: str) -> DataFrame:
-    """Distances of a pair list (columns i, j and others) whose length is a parameter: only its documents' rows are read
-    into the join, on (document, term)."""
+    """Distances of a pair list (columns i, j and others) whose length is a parameter: only its documents' rows are written
+    out and read into the sums and into the join, on (document, term)."""
     ij = pairs.select("i", "j").distinct()
-    a = F.broadcast(ij).join(dtm.select(F.col("doc_id").alias("i"), "term", F.col("value").alias("a")), "i")
+    named = ij.select(F.explode(F.array("i", "j")).alias("doc_id")).distinct()
+    dtm = materialize(dtm.join(broadcast_if_small(named), "doc_id", "left_semi"), "paired")
+    a = broadcast_if_small(ij).join(dtm.select(F.col("doc_id").alias("i"), "term", F.col("value").alias("a")), "i")
     met = a.join(dtm.select(F.col("doc_id").alias("j"), "term", F.col("value").alias("b")), ["j", "term"]).groupBy("i", "j").agg(*shared(F.col("a"), F.col("b")))
     return measure(_sides(pairs.join(met, ["i", "j"], "left"), dtm), *metrics)
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from calamus.functions.hashing import draw
 from calamus.functions.text import title_stem
 from calamus.operators.distances import measure, of_queries, shared, sums
+from calamus.operators.pairing import crossed
+from calamus.session import broadcast_if_small
 
 
 @dataclass(frozen=True)
@@ -35,9 +37,9 @@ def potential(pairs: DataFrame, background: DataFrame, dtm: DataFrame, metric: s
     are no candidates (both titles need a `_`), nor, with `filter_authors`, those by the pair's authors. Distances depend on i alone and are
     made once for each i; the number of pairs is a parameter."""
     firsts = pairs.select(F.col("i").alias("doc_id")).distinct()
-    side = F.broadcast(pairs.select("i", "j", "author_i", "author_j", "title_i", "title_j"))
+    side = broadcast_if_small(pairs.select("i", "j", "author_i", "author_j", "title_i", "title_j"))
     near = of_queries(
-        firsts.select(F.col("doc_id").alias("i")).crossJoin(background.select(F.col("doc_id").alias("j"))), firsts, dtm, metric
+        crossed(firsts.select(F.col("doc_id").alias("i")), background.select(F.col("doc_id").alias("j")), "i", "j"), firsts, dtm, metric
     ).select("i", F.col("j").alias("b"), F.round(metric, 9).alias("dist"))
     cand = near.join(background.select(F.col("doc_id").alias("b"), F.col("author").alias("_ab"), F.col("title").alias("_tb")), "b").join(side, "i")
     stem = title_stem(F.col("_tb"))
@@ -53,7 +55,8 @@ def sigmas(pairs: DataFrame, background: DataFrame, dtm: DataFrame, terms: DataF
     """(i, j, label, score): sigma of every pair, 1 minus the mean reward. `terms` has (term, idx), idx from 0.
 
     In each iteration `actual` impostors and random_prop * n_features features are drawn, both with replacement (a feature
-    drawn twice counts twice, one beyond the vocabulary not at all); the target's rank is 1 plus the number of impostors nearer
+    drawn twice counts twice); without sampling of authors all potential impostors are met, without sampling of features
+    all features count. The target's rank is 1 plus the number of impostors nearer
     to i, ties in its favour. With top_rank 1 the reward is 1 for rank 1; else 1/rank up to rank top_rank + 1 (one more
     than the name says, kept). Draws are keyed hashes: (pair, iteration, draw). The work is pairs x iterations x
     impostors x shared features, so the number of pairs is a parameter.
@@ -64,7 +67,7 @@ def sigmas(pairs: DataFrame, background: DataFrame, dtm: DataFrame, terms: DataF
     if how.sample_authors:
         picks = runs.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(how.actual - 1)))).withColumn("r", draw(F.col("have"), how.seed, "imp", F.col("i"), F.col("j"), F.col("it"), F.col("d")).cast("int"))
     else:
-        picks = runs.withColumn("r", F.explode(F.sequence(F.lit(0), F.least(F.lit(how.actual), F.col("have")).cast("int") - 1))).withColumn("d", F.col("r"))
+        picks = runs.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("have").cast("int") - 1)))
     impostors = picks.join(near.select("i", "j", "r", "b"), ["i", "j", "r"]).select("i", "j", "it", "b", F.lit(1).alias("t"))
     weights = impostors.groupBy("i", "j", "it", "b").agg(F.sum("t").alias("t"))
     rivals = weights.select("i", "j", "it", F.col("b").alias("x"), "t").unionByName(runs.select("i", "j", "it", F.col("j").alias("x"), F.lit(0).cast("bigint").alias("t")))

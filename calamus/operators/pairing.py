@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from calamus.functions.hashing import cumulative, draw, key, positions
 from calamus.functions.text import title_stem
+from calamus.session import broadcast_if_small, materialize
 
 SAME, DIFF = "same_author", "diff_author"
 
@@ -46,42 +49,75 @@ def limited(pairs: DataFrame, n: int | None, seed: int = 1066) -> DataFrame:
     return pairs if n is None else pairs.orderBy(key(seed, F.col("i"), F.col("j")), "i", "j").limit(n)
 
 
+def _index(docs: DataFrame, control: bool, seed: int) -> tuple[DataFrame, int, int, int]:
+    """Documents with what numbers their pairs, written once, and how many documents, same-author and other pairs there are:
+    `_start` and `_c`, the first position and number of the author's documents; `_rank`, the place among them; `_gs` and `_gn`,
+    the first place and number of those that cannot be its partner (itself, and with `control` its title's stem)."""
+    group = F.concat(F.lit("d"), F.col("doc_id").cast("string"))
+    if control:
+        group = F.when(F.instr("title", "_") > 0, F.concat(F.lit("s"), title_stem(F.col("title")))).otherwise(group)
+    meta = docs.select("doc_id", "author", "title", key(seed, F.col("doc_id")).alias("_key"), group.alias("_g"))
+    groups = meta.groupBy("author", "_g").agg(F.count(F.lit(1)).alias("_gn"))
+    groups = cumulative(groups.withColumn("_gkey", F.md5("_g")), "_gkey", F.col("_gn"), "_gs", within=("author",)).drop("_gkey")
+    authors = meta.groupBy("author").agg(F.count(F.lit(1)).alias("_c")).withColumn("_akey", key(seed, F.col("author")))
+    authors = cumulative(authors, "_akey", F.col("_c"), "_start").drop("_akey")
+    placed = positions(meta, "_key", "_in", within=("author", "_g")).join(groups, ["author", "_g"]).join(authors, "author")
+    rows = materialize(placed.withColumn("_rank", F.col("_gs") + F.col("_in")).drop("_in", "_g"), "pair-index")
+    n = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.col("_c") - F.col("_gn")), F.lit(0)).alias("same"), F.coalesce(F.sum("_c"), F.lit(0)).alias("own")).first()
+    return rows, n["n"], n["same"], n["n"] * n["n"] - n["own"]
+
+
+def _drawn(rows: DataFrame, weight: Column, size: int, partner: Callable[[Column], Column], place: list[str], n: int, name: str, control: bool, seed: int, tries: int) -> DataFrame:
+    """The first `n` different pairs, or all if they are fewer, of a numbering in which document i has `weight` of `size` numbers,
+    `partner` of its q-th the place (columns `place`) of j. Numbers are drawn, `tries` times n of them; pairs whose stems
+    agree are rejected (with `control`), and if too few are left, eight times as many are drawn, until all numbers there are are
+    taken instead of drawn. A number finds its document by hash bucket, then in the bucket, so the draws alone are small."""
+    spark = rows.sparkSession
+    spans = cumulative(rows.withColumn("_w", weight), "_key", F.col("_w"), "_from").withColumn("_b", F.substring("_key", 1, 3))
+    spans = materialize(spans, "pair-spans")
+    ends = spans.groupBy("_b").agg(F.min("_from").alias("_lo"), F.max(F.col("_from") + F.col("_w")).alias("_hi"))  # at most 4096 rows
+    side = lambda df, s: df.select(*place, F.col("doc_id").alias(s), F.col("author").alias(f"author_{s}"), F.col("title").alias(f"title_{s}"))
+    draws = tries * n
+    while True:
+        every = size <= draws
+        k = spark.range(size if every else draws).withColumnRenamed("id", "k")
+        x = F.col("k") if every else draw(F.lit(size), seed, name, F.col("k"))
+        o = key(seed, "all", F.col("k")) if every else F.lpad(F.col("k").cast("string"), 15, "0")
+        k = k.select(x.alias("_x"), o.alias("_o"))
+        found = k.join(F.broadcast(ends), (F.col("_x") >= F.col("_lo")) & (F.col("_x") < F.col("_hi"))).select("_b", "_x", "_o")
+        found = spans.join(broadcast_if_small(found), "_b").where((F.col("_x") >= F.col("_from")) & (F.col("_x") < F.col("_from") + F.col("_w")))
+        found = found.select(F.col("doc_id").alias("i"), F.col("author").alias("author_i"), F.col("title").alias("title_i"), "_o", *[F.col(c) for c in place if c == "author"], partner(F.col("_x") - F.col("_from")).alias(place[-1]))
+        pairs = side(rows, "j").join(broadcast_if_small(found), place).select("i", "j", "author_i", "author_j", "title_i", "title_j", "_o")
+        if control:
+            pairs = pairs.where(~both_stems_agree(F.col("title_i"), F.col("title_j")))
+        pairs = materialize(pairs.groupBy("i", "j").agg(F.min(F.struct("_o", "author_i", "author_j", "title_i", "title_j")).alias("s")).select("i", "j", "s.*"), "pairs")
+        if every or pairs.count() >= n:
+            return pairs.orderBy("_o").limit(n).drop("_o")
+        draws *= 8
+
+
+def drawn(docs: DataFrame, n: int, control: bool = True, seed: int = 1066, tries: int = 4) -> DataFrame:
+    """n ordered pairs of all, all if they are fewer: (i, j, author_i, author_j, title_i, title_j, label). None is enumerated but
+    where nearly all are wanted."""
+    rows, size, _, _ = _index(docs, control, seed)
+    rows = rows.withColumn("_pos", F.col("_start") + F.col("_rank"))
+    skip = lambda q: q + F.when(q >= F.col("_pos"), 1).otherwise(0)
+    pairs = _drawn(rows, F.lit(size - 1), size * (size - 1), skip, ["_pos"], n, "any", control, seed, tries)
+    return pairs.withColumn("label", label(F.col("author_i"), F.col("author_j")))
+
+
 def balanced(docs: DataFrame, n: int, control: bool = True, seed: int = 1066, tries: int = 4) -> DataFrame:
-    """About n ordered pairs, half by the same author and half by different ones: (i, j, author_i, author_j, title_i, title_j,
-    label). Fewer where there are fewer; the different-author half is as large as the same-author half.
+    """n ordered pairs, half by the same author and half by different ones: (i, j, author_i, author_j, title_i, title_j, label).
+    Where there are fewer by the same author, all of them; the different-author half is as large as the other.
 
-    Pairs are drawn, not enumerated: a same-author pair is a number in [0, sum of c (c - 1)), found among the authors'
-    ranges; another pair is two positions. `tries` times as many are drawn; repetitions, agreeing title stems (with
-    `control`) and, in the second half, equal authors are rejected, and the first of those left taken. Only the
-    draws (tries * n rows, a parameter) are broadcast.
+    Pairs are numbered without being listed: same-author pairs by document and its eligible partners, so that a drawn number
+    is an eligible pair; different-author pairs by document and the documents of other authors.
     """
-    spark = docs.sparkSession
-    meta = docs.select("doc_id", "author", "title").withColumn("_key", key(seed, F.col("doc_id")))
-    ranked = positions(positions(meta, "_key", "_pos"), "_key", "_rank", within=("author",)).drop("_key")
-    authors = docs.groupBy("author").agg(F.count(F.lit(1)).cast("bigint").alias("_c")).withColumn("_akey", key(seed, F.col("author")))
-    spans = cumulative(authors, "_akey", F.col("_c") * (F.col("_c") - 1), "_from")
-    size = spans.agg(F.sum(F.col("_c") * (F.col("_c") - 1)).alias("_pairs"), F.sum("_c").alias("_docs"))
-    draws = spark.range(tries * n).withColumnRenamed("id", "k").crossJoin(F.broadcast(size))
-    hit = draws.withColumn("_x", draw(F.col("_pairs"), seed, "same", F.col("k"))).where("_x is not null")
-    inside = spans.join(F.broadcast(hit), (F.col("_x") >= F.col("_from")) & (F.col("_x") < F.col("_from") + F.col("_c") * (F.col("_c") - 1)))
-    ri, rj = F.expr("(_x - _from) div nullif(_c - 1, 0)"), F.expr("(_x - _from) % nullif(_c - 1, 0)")
-    ranks = inside.select("k", "author", ri.alias("_ri"), (rj + F.when(rj >= ri, 1).otherwise(0)).alias("_rj"))
-    a = ranked.select(F.col("author"), F.col("_rank").alias("_ri"), F.col("doc_id").alias("i"), F.col("title").alias("title_i"))
-    b = ranked.select(F.col("author"), F.col("_rank").alias("_rj"), F.col("doc_id").alias("j"), F.col("title").alias("title_j"))
-    same = b.join(F.broadcast(a.join(F.broadcast(ranks), ["author", "_ri"])), ["author", "_rj"])
-    same = same.select("k", "i", "j", F.col("author").alias("author_i"), F.col("author").alias("author_j"), "title_i", "title_j")
-    two = draws.select("k", draw(F.col("_docs"), seed, "i", F.col("k")).alias("_pi"), draw(F.col("_docs") - 1, seed, "j", F.col("k")).alias("_pj"))
-    two = two.where("_pj is not null").withColumn("_pj", F.col("_pj") + F.when(F.col("_pj") >= F.col("_pi"), 1).otherwise(0))
-    c = ranked.select(F.col("_pos").alias("_pi"), F.col("doc_id").alias("i"), F.col("author").alias("author_i"), F.col("title").alias("title_i"))
-    d = ranked.select(F.col("_pos").alias("_pj"), F.col("doc_id").alias("j"), F.col("author").alias("author_j"), F.col("title").alias("title_j"))
-    diff = d.join(F.broadcast(c.join(F.broadcast(two), "_pi")), "_pj").where("author_i <> author_j").select("k", "i", "j", "author_i", "author_j", "title_i", "title_j")
-
-    def first(pairs: DataFrame, many: int) -> DataFrame:
-        kept = pairs.where(~both_stems_agree(F.col("title_i"), F.col("title_j"))) if control else pairs
-        kept = kept.groupBy("i", "j").agg(F.min(F.struct("k", "author_i", "author_j", "title_i", "title_j")).alias("s"))
-        return kept.select("i", "j", "s.*").orderBy("k").limit(many)
-
-    one = first(same, n // 2)
-    other = first(diff, n // 2).crossJoin(F.broadcast(one.agg(F.count(F.lit(1)).alias("_m"))))
-    other = other.withColumn("_r", F.row_number().over(Window.orderBy("k"))).where("_r <= _m").drop("_m", "_r")  # at most n / 2 rows
-    return one.unionByName(other).drop("k").withColumn("label", label(F.col("author_i"), F.col("author_j")))
+    rows, _, same, diff = _index(docs, control, seed)
+    jump = lambda start, many: lambda q: q + F.when(q >= start, many).otherwise(0)
+    one = _drawn(rows, F.col("_c") - F.col("_gn"), same, jump(F.col("_gs"), F.col("_gn")), ["author", "_rank"], n // 2, "same", control, seed, tries * 2)
+    one = materialize(one, "same-pairs")
+    rows = rows.withColumn("_pos", F.col("_start") + F.col("_rank"))
+    many = docs.count()
+    other = _drawn(rows, F.lit(many) - F.col("_c"), diff, jump(F.col("_start"), F.col("_c")), ["_pos"], one.count(), "diff", control, seed, tries * 2)
+    return one.unionByName(other).withColumn("label", label(F.col("author_i"), F.col("author_j")))

@@ -9,7 +9,7 @@ from calamus.functions.arrays import elements
 from calamus.functions.numeric import let, logaddexp
 from calamus.operators.counting import vocabulary
 from calamus.operators.pairing import crossed
-from calamus.session import broadcast_if_small
+from calamus.session import broadcast_if_small, materialize
 
 MODELS = ("tf", "std", "tfidf", "plm", "bin")
 
@@ -113,11 +113,12 @@ def rank_models(entropies: DataFrame) -> DataFrame:
     return entropies.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.round("ce", 9), "doc_id")))
 
 
-def weigh(counts: DataFrame, model: str, n_features: int, n_docs: int, min_df: int = 2, **em) -> DataFrame:
-    """(doc_id, term, value) by a model's name, over the `n_features` best terms, at unit length."""
+def weigh(counts: DataFrame, model: str, n_features: int, n_docs: int, min_df: int = 2, vocab: DataFrame | None = None, **em) -> DataFrame:
+    """(doc_id, term, value) by a model's name, over the `n_features` best terms (or a vocabulary already made), at unit length."""
     if model not in MODELS:
         raise ValueError(f"no such model: {model}")
-    vocab = vocabulary(counts, n_features, min_df, binary=model == "bin")
+    if vocab is None:
+        vocab = materialize(vocabulary(counts, n_features, min_df, binary=model == "bin"), "vocabulary")
     kept = restrict(counts, vocab)
     if model == "tf":
         return tf(kept)

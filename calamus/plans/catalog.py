@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,13 +14,13 @@ from calamus.functions.numeric import log_sum_exp, percent
 from calamus.operators import counting, evaluating, impostors, matrix, pairing, scoring, smoothing, splitting, weighting
 from calamus.operators import distances as dist
 from calamus.plans.protocol import Config, SameAuthor
-from calamus.session import materialize
+from calamus.session import broadcast_if_small, materialize
 from calamus.sources import corpus as source
 from calamus.sources import names
 
 Query = Callable[[SparkSession, str], DataFrame]
 FEATURES, PAIRS, SEED, EVERY = 1000, 500, 1066, 100
-VIEW = Config(n_features=FEATURES, n_pairs=PAIRS, metric="minmax", model="tf", control_pairs=True, seed=SEED)
+VIEW = Config(n_features=FEATURES, n_dev_pairs=PAIRS, n_test_pairs=PAIRS, balanced_pairs=True, metric="minmax", model="tf", seed=SEED)
 BOOT = impostors.Bootstrap(n_features=FEATURES, filter_authors=True, seed=SEED)
 
 
@@ -126,6 +127,24 @@ def vsm(model: str) -> Query:
     return lambda spark, sf: vectors(docs(spark, sf), model).select("doc_id", "term", F.round("value", 6).alias("value"))
 
 
+def chars(model: str) -> Query:
+    """The same models over character n-grams."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        d = materialize(docs(spark, sf), "docs")
+        counts = materialize(counting.ngram_counts(d), "grams")
+        return weighting.weigh(counts, model, FEATURES, d.count()).select("doc_id", "term", F.round("value", 6).alias("value"))
+
+    return run
+
+
+def repeated_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents whose author has more than one: the labels a map of documents shows."""
+    d = docs(spark, sf).select("doc_id", "author")
+    many = counting.author_counts(d).where("docs > 1")
+    return d.join(broadcast_if_small(many), "author").select("doc_id", "author", "docs")
+
+
 def dense_model(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     counts = materialize(counting.term_counts(docs(spark, sf)), "counts")
     v = materialize(counting.vocabulary(counts, None, 1), "vocabulary")
@@ -162,6 +181,10 @@ def pairs_balanced(spark: SparkSession, sf: str) -> DataFrame:
     return pairing.balanced(docs(spark, sf), PAIRS, True, SEED).select("i", "j", "label")
 
 
+def pairs_drawn(spark: SparkSession, sf: str) -> DataFrame:
+    return pairing.drawn(docs(spark, sf), PAIRS, True, SEED).select("i", "j", "label")
+
+
 def pair_stats(spark: SparkSession, sf: str) -> DataFrame:
     c = author_counts(spark, sf).agg(F.sum("docs").alias("n"), F.sum(F.col("docs") * (F.col("docs") - 1)).alias("same"))
     return c.select("n", F.col("same").alias("sadps"), (F.col("n") * (F.col("n") - 1) - F.col("same")).alias("dadps"), percent(F.col("same") / (F.col("n") * (F.col("n") - 1))).alias("same_percent"))
@@ -178,8 +201,6 @@ def distance(metric: str) -> Query:
 
 
 def sample(spark: SparkSession, sf: str, **options) -> SameAuthor:
-    from dataclasses import replace
-
     d = materialize(splitting.split_authors(docs(spark, sf)), "docs")
     return SameAuthor(replace(VIEW, **options)).vectorize(d)
 
@@ -210,12 +231,10 @@ def impostor_topk(spark: SparkSession, sf: str) -> DataFrame:
     return impostors.potential(p, v.phase("test"), v.dtm, "minmax", BOOT).select("i", "j", "b", F.round("dist", 6).alias("dist"), F.col("r").cast("int").alias("r"))
 
 
-def impostor_sigma(top_rank: int, metric: str = "minmax") -> Query:
+def impostor_sigma(top_rank: int, metric: str = "minmax", background: str = "test", **sampling: bool) -> Query:
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        from dataclasses import replace
-
         v, p = boot_input(spark, sf)
-        s = impostors.sigmas(p, v.phase("test"), v.dtm, v.terms(), metric, replace(BOOT, top_rank=top_rank))
+        s = impostors.sigmas(p, v.phase(background), v.dtm, v.terms(), metric, replace(BOOT, top_rank=top_rank, **sampling))
         return s.select("i", "j", "label", F.round("score", 6).alias("score"))
 
     return run
@@ -239,9 +258,15 @@ def distance_table(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(matrix.distance_table(s.select("i", "j", F.col("minmax").alias("d")), d))
 
 
+def distance_dense(spark: SparkSession, sf: str) -> DataFrame:
+    """The table as a dense one holds it: every document in the column of every document of the query set, 0 where no distance was computed."""
+    d, s = searched(spark, sf, "minmax")
+    return rounded(matrix.filled(s.select("i", "j", F.col("minmax").alias("d")), d))
+
+
 def distance_corr(spark: SparkSession, sf: str) -> DataFrame:
-    s = searched(spark, sf, "minmax")[1].select("i", "j", F.round("minmax", 9).alias("d"))
-    return rounded(matrix.correlations(s))
+    d, s = searched(spark, sf, "minmax")
+    return rounded(matrix.correlations(s.select("i", "j", F.round("minmax", 9).alias("d")), d.count()))
 
 
 def closest_cross_author(spark: SparkSession, sf: str) -> DataFrame:
@@ -269,15 +294,15 @@ def sweep(spark: SparkSession, sf: str) -> DataFrame:
     d = materialize(splitting.split_authors(docs(spark, sf)), "docs")
     dev = materialize(pairing.balanced(d.where("phase = 'dev'"), PAIRS, True, SEED), "pairs")
     counts, n = materialize(counting.term_counts(d), "counts"), d.count()
-    metrics = ("minmax", "cosine", "cityblock")
+    metrics = tuple(dist.METRICS)
     out = None
-    for model in ("tf", "std", "tfidf", "bin"):
+    for model in weighting.MODELS:
         found = materialize(dist.of_pairs(dev, weighting.weigh(counts, model, FEATURES, n), *metrics), "distances")
         for m in metrics:
             s = scoring.scaled(found.select("i", "j", "label", F.round(m, 9).alias("dist"))).withColumn("score", F.round("score", 9))
             best = evaluating.best_point(s).select(F.lit(model).alias("vsm"), F.lit(m).alias("metric"), F.round("f1", 6).alias("f1"))
             out = best if out is None else out.unionByName(best)
-    return out
+    return out.groupBy("vsm").pivot("metric", list(metrics)).agg(F.first("f1"))
 
 
 def queries() -> dict[str, Query]:
@@ -287,15 +312,17 @@ def queries() -> dict[str, Query]:
         "chunk_words": chunk_words, "token_halves": token_halves, "scribe_metadata": scribe_metadata, "sailing_metadata": sailing_metadata, "index_names": index_names,
         "work_authors": work_authors, "split_authors": split(splitting.split_authors), "split_titles": split(splitting.split_titles), "split_random": split(splitting.split_random),
         "corpus_stats": corpus_stats, "author_counts": author_counts, "jumbled_halves": jumbled_halves, "vocab_topk": vocab(False), "vocab_topk_bin": vocab(True),
-        **{f"vsm_{m}": vsm(m) for m in weighting.MODELS}, "plm_dense": plm_dense, "plm_topk": plm_topk, "plm_cross_entropy": plm_cross_entropy,
-        "pairs_all": pairs(False), "pairs_controlled": pairs(True), "pairs_limited": pairs_limited, "pairs_balanced": pairs_balanced, "pair_stats": pair_stats,
+        **{f"vsm_{m}": vsm(m) for m in weighting.MODELS}, **{f"vsm_chars_{m}": chars(m) for m in weighting.MODELS}, "repeated_labels": repeated_labels,
+        "plm_dense": plm_dense, "plm_topk": plm_topk, "plm_cross_entropy": plm_cross_entropy,
+        "pairs_all": pairs(False), "pairs_controlled": pairs(True), "pairs_limited": pairs_limited, "pairs_balanced": pairs_balanced, "pairs_drawn": pairs_drawn, "pair_stats": pair_stats,
         **{f"dist_{m}": distance(m) for m in dist.METRICS}, "scores_scaled": scores_scaled, "scores_joint_scaled": scores_joint_scaled,
         "impostor_topk": impostor_topk, "impostor_sigma_top1": impostor_sigma(1), "impostor_sigma_mrr": impostor_sigma(10),
-        "impostor_sigma_cityblock": impostor_sigma(1, "cityblock"), "pr_curve": evaluated(e.pr_curve), "threshold_eval": evaluated(lambda s: e.at_threshold(s, 0.5)),
+        "impostor_sigma_cityblock": impostor_sigma(1, "cityblock"), "impostor_sigma_authors": impostor_sigma(1, sample_features=False), "impostor_sigma_features": impostor_sigma(1, sample_authors=False),
+        "impostor_sigma_plain": impostor_sigma(10, sample_features=False, sample_authors=False), "impostor_sigma_self": impostor_sigma(1, background="dev"), "pr_curve": evaluated(e.pr_curve), "threshold_eval": evaluated(lambda s: e.at_threshold(s, 0.5)),
         "average_precision": evaluated(e.average_precision), "average_precision_step": evaluated(lambda s: e.average_precision(s, "step")),
         "rank_proportional": evaluated(lambda s: e.rank_predict(s, "proportional", 100)), "rank_calibrated": evaluated(lambda s: e.rank_predict(s, "calibrated")),
         "rank_breakeven": evaluated(lambda s: e.rank_predict(s, "break-even-point")), "threshold_transfer": threshold_transfer, "ks_two_sample": evaluated(e.two_sample_ks),
-        "kde_grid": evaluated(e.kde), "distance_table": distance_table, "distance_corr": distance_corr, "closest_cross_author": closest_cross_author,
+        "kde_grid": evaluated(e.kde), "distance_table": distance_table, "distance_dense": distance_dense, "distance_corr": distance_corr, "closest_cross_author": closest_cross_author,
         "smooth_hanning": smoothed(5, "hanning"), "smooth_flat": smoothed(4, "flat"), "smooth_hamming": smoothed(7, "hamming"), "smooth_bartlett": smoothed(6, "bartlett"),
         "smooth_blackman": smoothed(5, "blackman"), "logsum": logsum, "sweep_vsm_metric": sweep,
     }

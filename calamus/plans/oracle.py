@@ -56,7 +56,9 @@ def vsm(model: str, k: int = FEATURES) -> str:
     return f"{CNT}, {voc(k, 2, 'df' if model == 'bin' else 'cf')}, {KEPT}, {RAW[model]}, dtm as materialized {NORM.format('raw')}"
 
 
-DENSE = f"{DOCS}, {CNT}, {voc(FEATURES, 1)}, {KEPT}, {em('tf / sum(tf) over (partition by doc_id)', 20, None)}"
+GRAM = "case when length(w) <= {n} then ['%'||w||'$'] else list_transform(range(1, length(w) - {n} + 2), lambda i: substring('%'||w||'$', i::bigint, {n})) end"
+GRAMS = f"cnt as materialized (select doc_id, term, count(*) tf from (select doc_id, unnest({GRAM.format(n=4)}) term from (select doc_id, unnest(words) w from docs)) group by all)"
+DENSE = f"{DOCS}, {CNT}, {voc(10**9, 1)}, {KEPT}, {em('tf / sum(tf) over (partition by doc_id)', 50, None)}"
 STEM = "split_part({0}, '_', 1)"
 AGREE = "(contains({0}, '_') and contains({1}, '_') and split_part({0}, '_', 1) = split_part({1}, '_', 1))"
 LABEL = "case when {0} = {1} then 'same_author' else 'diff_author' end"
@@ -72,19 +74,37 @@ def halves(*by: str) -> str:
  ph as materialized (select docs.*, case when p < c // 2 then 'dev' else 'test' end phase from docs join (select g0{", g1" if len(by) > 1 else ""}, p, c from grp) g on {on})"""
 
 
-def balanced(frm: str, n: int, name: str) -> str:
-    """A balanced sample of pairs of the documents of `frm`, drawn by keyed hashes."""
-    pick = lambda src: f"(select i, j, min(k) k, any_value(author_i) author_i, any_value(author_j) author_j, any_value(title_i) title_i, any_value(title_j) title_j from {src} where not {AGREE.format('title_i', 'title_j')} group by i, j order by k limit {n // 2})"
+def drawn(frm: str, n: int, name: str) -> str:
+    return balanced(frm, n, name, whole=True)
+
+
+def balanced(frm: str, n: int, name: str, whole: bool = False) -> str:
+    """A balanced sample of pairs of the documents of `frm`, or one of all pairs, drawn by keyed hashes."""
     x = name
-    return f"""{x}pos as materialized (select doc_id, author, title, row_number() over (order by md5('{SEED}|'||doc_id)) - 1 p, row_number() over (partition by author order by md5('{SEED}|'||doc_id)) - 1 r from {frm}),
- {x}sp as materialized (select author, c, coalesce(sum(c * (c - 1)) over (order by md5('{SEED}|'||author) rows between unbounded preceding and 1 preceding), 0)::bigint f from (select author, count(*) c from {frm} group by author)),
- {x}tot as (select sum(c * (c - 1))::bigint np, sum(c)::bigint nd from {x}sp), {x}dr as (select k, np, nd from range({4 * n}) t(k), {x}tot),
- {x}s1 as (select k, author, (x - f) // (c - 1) ri, (x - f) % (c - 1) rj from (select k, {draw("np", "'same'", "k")} x from {x}dr where np > 0) join {x}sp on x >= f and x < f + c * (c - 1)),
- {x}same as (select k, a.doc_id i, b.doc_id j, a.author author_i, b.author author_j, a.title title_i, b.title title_j from {x}s1 s join {x}pos a on a.author = s.author and a.r = ri join {x}pos b on b.author = s.author and b.r = rj + (rj >= ri)::int),
- {x}d1 as (select k, {draw("nd", "'i'", "k")} pi, {draw("nd - 1", "'j'", "k")} pj from {x}dr where nd > 1),
- {x}diff as (select k, a.doc_id i, b.doc_id j, a.author author_i, b.author author_j, a.title title_i, b.title title_j from {x}d1 join {x}pos a on a.p = pi join {x}pos b on b.p = pj + (pj >= pi)::int where a.author <> b.author),
- {x}one as materialized {pick(f"{x}same")}, {x}two as (select * from {pick(f"{x}diff")} order by k limit (select count(*) from {x}one)),
- {name} as materialized (select *, {LABEL.format("author_i", "author_j")} as label from (select * from {x}one union all select * from {x}two))"""
+
+    def half(which: str, weight: str, on: str, many: str) -> str:
+        every = f"(select s{which} <= 8 * {many} from {x}n)"
+        size = f"(select s{which} from {x}n)"
+        return f"""{x}f{which} as materialized (select *, coalesce(sum({weight}) over (order by k rows between unbounded preceding and 1 preceding), 0)::bigint f, {weight} w from {x}p, {x}n),
+ {x}d{which} as materialized (select case when {every} then k else {draw(f"greatest({size}, 1)", f"'{which}'", "k")} end x, case when {every} then md5('{SEED}|all|' || k) else lpad(k::varchar, 15, '0') end o
+   from (select unnest(range(case when {every} then {size} else 8 * {many} end)) k)),
+ {x}h{which} as (select s.*, x - f q, o from {x}f{which} s join {x}d{which} d on x >= f and x < f + w),
+ {x}{which} as materialized (select i, j, min(o) o, any_value(author_i) author_i, any_value(author_j) author_j, any_value(title_i) title_i, any_value(title_j) title_j
+   from (select a.doc_id i, b.doc_id j, a.author author_i, b.author author_j, a.title title_i, b.title title_j, o from {x}h{which} a join {x}p b on {on}) where not {AGREE.format('title_i', 'title_j')} group by i, j order by o limit {many})"""
+
+    many = f"(select count(*) from {x}same)"
+    halves_ = f"""{half("same", "(c - gn)", "b.author = a.author and b.r = q + case when q >= a.gs then a.gn else 0 end", str(n // 2))},
+ {half("diff", "(nd - c)", "b.pos = q + case when q >= a.st then a.c else 0 end", many)},
+ {name} as materialized (select *, {LABEL.format("author_i", "author_j")} as label from (select * from {x}same union all select * from {x}diff))"""
+    if whole:
+        halves_ = f"""{half("any", "(nd - 1)", "b.pos = q + case when q >= a.pos then 1 else 0 end", str(n)).replace("8 * ", "4 * ")},
+ {name} as materialized (select *, {LABEL.format("author_i", "author_j")} as label from {x}any)"""
+    return f"""{x}g as (select doc_id, author, title, md5('{SEED}|' || doc_id) k, case when contains(title, '_') then 's' || split_part(title, '_', 1) else 'd' || doc_id end g from {frm}),
+ {x}a as (select author, c, coalesce(sum(c) over (order by md5('{SEED}|' || author) rows between unbounded preceding and 1 preceding), 0)::bigint st from (select author, count(*) c from {x}g group by 1)),
+ {x}r as (select *, row_number() over (partition by author order by md5(g), k) - 1 r from {x}g),
+ {x}p as materialized (select v.*, c, st, st + r pos from (select *, min(r) over (partition by author, g) gs, count(*) over (partition by author, g) gn from {x}r) v join {x}a using (author)),
+ {x}n as materialized (select count(*) nd, coalesce(sum(c - gn), 0)::bigint ssame, (count(*) * count(*) - sum(c))::bigint sdiff, count(*) * (count(*) - 1) sany from {x}p),
+ {halves_}"""
 
 
 METRIC = {
@@ -97,12 +117,13 @@ METRIC = {
 
 
 def dists(pairs: str, *metrics: str, name: str = "dists") -> str:
+    """Distances of a list of pairs; the sums it needs of each document are named after it."""
     cols = ", ".join(f"{METRIC[m]} {m}" for m in metrics)
     zero = ", ".join(f"coalesce({c}, 0) {c}" for c in ("mn", "dot", "dv", "n"))
     side = lambda s: f"coalesce({s}.s1, 0) s1{s}, coalesce({s}.s2, 0) s2{s}, coalesce({s}.nz, 0) nz{s}"
-    return f"""sm as materialized (select doc_id, sum(v) s1, sum(v * v) s2, count(*)::double nz from dtm group by doc_id),
+    return f"""sm{name} as materialized (select doc_id, sum(v) s1, sum(v * v) s2, count(*)::double nz from dtm group by doc_id),
  met{name} as (select i, j, sum(least(a.v, b.v)) mn, sum(a.v * b.v) dot, sum(pow(2 * (a.v - b.v) / (a.v + b.v), 2)) dv, count(*)::double n from (select distinct i, j from {pairs}) p join dtm a on a.doc_id = i join dtm b on b.doc_id = j and b.term = a.term group by i, j),
- {name} as materialized (select *, {cols} from (select p.*, {zero}, {side("i")}, {side("j")} from {pairs} p left join met{name} m on m.i = p.i and m.j = p.j left join sm i on i.doc_id = p.i left join sm j on j.doc_id = p.j))"""
+ {name} as materialized (select *, {cols} from (select p.*, {zero}, {side("i")}, {side("j")} from {pairs} p left join met{name} m on m.i = p.i and m.j = p.j left join sm{name} i on i.doc_id = p.i left join sm{name} j on j.doc_id = p.j))"""
 
 
 PH = f"{DOCS}, {halves('author')}"
@@ -134,21 +155,38 @@ def area(high: str) -> str:
     return f"""with {FIT}, {curve()} select round(sum((recall - r0) * {high}), 6) ap from (select *, coalesce(lag(precision) over (order by threshold desc), 1) p0, coalesce(lag(recall) over (order by threshold desc), 0) r0 from cv)"""
 
 
-def sigma_base(metric: str = "minmax") -> str:
+def sigma_base(metric: str = "minmax", background: str = "test") -> str:
     b = BOOT
     keep = " and ".join(f"not {AGREE.format('b.title', 'title_' + s)}" for s in "ij")
-    return f"""{PH}, {DEV}, {TEST}, {vsm("tf", b.n_features)}, {balanced("dev", 20, "pairs")},
- ib as (select p.i, b.doc_id j from (select distinct i from pairs) p, test b), {dists("ib", metric, name="near")},
+    return f"""{PH}, {DEV}, {TEST}, {vsm("tf", b.n_features)}, {balanced("dev", PAIRS, "pairs")},
+ ib as (select p.i, b.doc_id j from (select distinct i from pairs) p, {background} b), {dists("ib", metric, name="near")},
  pot as materialized (select * from (select i, j, b, dist, row_number() over (partition by i, j order by dist, b) - 1 r from (
-   select p.i, p.j, b.doc_id b, round(n.{metric}, 9) dist from pairs p join test b on b.author <> author_i and b.author <> author_j and {keep} join near n on n.i = p.i and n.j = b.doc_id)) where r < {b.n_potential})"""
+   select p.i, p.j, b.doc_id b, round(n.{metric}, 9) dist from pairs p join {background} b on b.author <> author_i and b.author <> author_j and {keep} join near n on n.i = p.i and n.j = b.doc_id)) where r < {b.n_potential})"""
 
 
-def sigma(reward: str, metric: str = "minmax") -> str:
+def sigma_whole(reward: str, authors: bool, metric: str = "minmax") -> str:
+    """Sigma over all features: impostors drawn, or all potential ones."""
     b = BOOT
-    weighted = METRIC[metric] if metric != "cityblock" else "greatest(0, w1i + w1j - 2 * wmn)"
+    imp = f"""imp as (select i, j, it, b x, count(*) t from (select i, j, it, {draw("have", "'imp'", "i", "j", "it", "d")} r from runs, range({b.actual}) t(d)) join pot using (i, j, r) group by all)"""
+    if not authors:
+        imp = "imp as (select i, j, it, b x, 1 t from runs join pot using (i, j))"
     return f"""with {sigma_base(metric)},
- runs as materialized (select i, j, have, it from (select i, j, count(*) have from pot group by i, j), range({b.iterations}) t(it)),
- imp as (select i, j, it, b x, count(*) t from (select i, j, it, {draw("have", "'imp'", "i", "j", "it", "d")} r from runs, range({b.actual}) t(d)) join pot using (i, j, r) group by all),
+ runs as materialized (select i, j, have, it from (select i, j, count(*) have from pot group by i, j), range({b.iterations}) t(it)), {imp},
+ riv as materialized (select i, j, it, x, t from imp union all select i, j, it, j, 0 from runs),
+ want as (select distinct i, x j from riv), {dists("want", metric, name="wd")},
+ ds as (select r.i, r.j, r.it, r.x, t, round({metric}, 9) d from riv r join wd on wd.i = r.i and wd.j = r.x),
+ rk as (select i, j, it, 1 + coalesce(sum(t) filter (d < tg), 0) rank from (select *, max(d) filter (t = 0) over (partition by i, j, it) tg from ds) group by i, j, it)
+select i, j, label, round(1 - s / {b.iterations}, 6) score from (select i, j, sum({reward}) s from rk group by i, j) join (select i, j, label from pairs) using (i, j)"""
+
+
+def sigma(reward: str, metric: str = "minmax", authors: bool = True, background: str = "test") -> str:
+    b = BOOT
+    imp = f"""imp as (select i, j, it, b x, count(*) t from (select i, j, it, {draw("have", "'imp'", "i", "j", "it", "d")} r from runs, range({b.actual}) t(d)) join pot using (i, j, r) group by all)"""
+    if not authors:
+        imp = "imp as (select i, j, it, b x, 1 t from runs join pot using (i, j))"
+    weighted = METRIC[metric] if metric != "cityblock" else "greatest(0, w1i + w1j - 2 * wmn)"
+    return f"""with {sigma_base(metric, background)},
+ runs as materialized (select i, j, have, it from (select i, j, count(*) have from pot group by i, j), range({b.iterations}) t(it)), {imp},
  riv as materialized (select i, j, it, x, t from imp union all select i, j, it, j, 0 from runs),
  idx as (select term, row_number() over (order by term) - 1 idx from voc),
  ft as materialized (select i, j, it, term, m from (select i, j, it, idx, count(*)::double m from (select i, j, it, {draw("(select count(*) from voc)", "'feat'", "i", "j", "it", "f")} idx from runs, range({int(b.random_prop * b.n_features)}) t(f)) group by all) join idx using (idx)),
@@ -156,7 +194,7 @@ def sigma(reward: str, metric: str = "minmax") -> str:
    from riv r join ft f using (i, j, it) left join dtm a on a.doc_id = r.i and a.term = f.term left join dtm b on b.doc_id = r.x and b.term = f.term group by all),
  least_ as (select 1),
  mm as (select r.i, r.j, r.it, r.x, coalesce(sum(m * least(a.v, b.v)), 0) mn2 from riv r join ft f using (i, j, it) join dtm a on a.doc_id = r.i and a.term = f.term join dtm b on b.doc_id = r.x and b.term = f.term group by all),
- wh as (select p.i, p.x, wi.s1 w1i, wj.s1 w1j, (select coalesce(sum(least(a.v, b.v)), 0) from dtm a join dtm b using (term) where a.doc_id = p.i and b.doc_id = p.x) wmn from (select distinct i, x from riv) p join sm wi on wi.doc_id = p.i join sm wj on wj.doc_id = p.x),
+ wh as (select p.i, p.x, wi.s1 w1i, wj.s1 w1j, (select coalesce(sum(least(a.v, b.v)), 0) from dtm a join dtm b using (term) where a.doc_id = p.i and b.doc_id = p.x) wmn from (select distinct i, x from riv) p join smnear wi on wi.doc_id = p.i join smnear wj on wj.doc_id = p.x),
  ds as (select i, j, it, x, t, round({weighted}, 9) d from (select pt.* exclude (mn), coalesce(mn2, 0) mn, w1i, w1j, wmn from pt left join mm using (i, j, it, x) left join wh using (i, x))),
  rk as (select i, j, it, 1 + coalesce(sum(t) filter (d < tg), 0) rank from (select *, max(d) filter (t = 0) over (partition by i, j, it) tg from ds) group by i, j, it)
 select i, j, label, round(1 - s / {b.iterations}, 6) score from (select i, j, sum({reward}) s from rk group by i, j) join (select i, j, label from pairs) using (i, j)"""
@@ -177,17 +215,19 @@ select pos, round(y, 6) y from y, e where pos >= 0 and pos < n"""
 
 
 def sweep() -> str:
-    metrics = ("minmax", "cosine", "cityblock")
+    """Max F1 by model and metric; of equal F1 the highest threshold counts, which doesn't show."""
     parts = []
-    for m in ("tf", "std", "tfidf", "bin"):
-        for d in metrics:
-            parts.append(f"""select '{m}' vsm, '{d}' metric, f1 from (with {PH}, {DEV}, {vsm(m)}, {balanced("dev", PAIRS, "pairs")}, {dists("pairs", d)},
- r as (select label, round({d}, 9) dist from dists), tr as (select round(1 - round((dist - lo) / (hi - lo), 9), 9) sim, (label <> 'diff_author')::int y from r, (select min(dist) lo, max(dist) hi from r)),
- {curve()} select round(f1, 6) f1 from {BEST})""")
+    for m in RAW:
+        long = " union all ".join(f"select '{d}' metric, label, round({d}, 9) dist from dists" for d in METRIC)
+        best = ", ".join(f"max(f1) filter (metric = '{d}') {d}" for d in METRIC)
+        parts.append(f"""select '{m}' vsm, {best} from (with {PH}, {DEV}, {vsm(m)}, {balanced("dev", PAIRS, "pairs")}, {dists("pairs", *METRIC)}, r as materialized ({long}),
+ tr as (select metric, round(1 - round((dist - lo) / (hi - lo), 9), 9) sim, (label <> 'diff_author')::int y from r join (select metric, min(dist) lo, max(dist) hi from r group by 1) using (metric) where hi > lo),
+ a as (select metric, sim, sum(y) y, count(*) n from tr group by all),
+ c as (select metric, sum(y) over (partition by metric order by sim desc) tp, sum(n) over (partition by metric order by sim desc) k, sum(y) over (partition by metric) al from a)
+ select metric, round(2 * (tp / k) * (tp / al) / (tp / k + tp / al), 6) f1 from c where tp > 0)""")
     return " union all ".join(parts)
 
 
-GRAM = "case when length(w) <= {n} then ['%'||w||'$'] else list_transform(range(1, length(w) - {n} + 2), lambda i: substring('%'||w||'$', i::bigint, {n})) end"
 CLEAN = r"regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), '[^\p{L}\p{Nd} ]', '', 'g')"
 LATIN = r"list_filter(regexp_split_to_array(lower(translate(regexp_replace(text, '[^\p{L}\s]', '', 'g'), 'vj', 'ui')), '\s+'), lambda w: w <> '')"
 CAP = "upper(substr({0}, 1, 1)) || lower(substr({0}, 2))"
@@ -208,10 +248,10 @@ def oracle_sql() -> dict[str, str]:
         "scribe_metadata": f"""select file_name, s scribe, p[1] text_id, p[3] village, p[2] date, s || '_' || p[1] || '_' || p[3] || '_' || p[2] new_name from (select file_name, p, replace({CAP.format("p[4]")}, '.', '') s
  from (select distinct file_name, string_split(file_name, '_') p from soldier_letters where file_name is not null) where len(p) = 7)""",
         "sailing_metadata": f"""select file_name, n as name, p[1] text_id, n || '_' || p[1] new_name from (select file_name, p, {CAP.format("p[4]")} n from (select distinct file_name, string_split(file_name, '-') p from soldier_sailing where file_name is not null) where len(p) >= 4)""",
-        "index_names": "select file_name, k::varchar author, k::varchar title, k || '_' || k || '.txt' new_name from (select file_name, row_number() over (order by md5(file_name)) - 1 k from (select distinct file_name from soldier_letters where file_name is not null))",
+        "index_names": "select file_name, k::varchar author, k::varchar title, k || '_' || k || '.txt' new_name from (select file_name, row_number() over (order by file_name) - 1 k from (select distinct file_name from soldier_letters where file_name is not null))",
         "work_authors": """with f as (select distinct work_id, file_name from raw_works where file_name is not null)
  select work_id, split_part(file_name, '_', 1) author, replace(substr(file_name, instr(file_name, '_') + 1), '.txt', '') title from f where contains(file_name, '_')
- union all select work_id, (row_number() over (order by md5(file_name)) - 1)::varchar, replace(file_name, '.txt', '') from f where not contains(file_name, '_')""",
+ union all select work_id, (row_number() over (order by file_name) - 1)::varchar, replace(file_name, '.txt', '') from f where not contains(file_name, '_')""",
         "split_authors": f"with {DOCS}, {halves('author')} select doc_id, phase from ph",
         "split_titles": f"with {DOCS.replace('any_value(title) title,', 'any_value(title) title, split_part(any_value(title), chr(95), 1) stem,')}, {halves('author', 'stem')} select doc_id, phase from ph",
         "split_random": f"with {DOCS}, {halves('doc_id')} select doc_id, phase from ph",
@@ -228,7 +268,7 @@ def oracle_sql() -> dict[str, str]:
         "plm_topk": f"with {DENSE} select doc_id, term, round(v, 6) as value, r::int rank from (select *, row_number() over (partition by doc_id order by round(v, 9) desc, term) r from em) where r <= 10",
         "plm_cross_entropy": f"""with {DENSE}, q as (select doc_id q, term, v pq, pc from em join bg using (term) where doc_id % {EVERY} = 0), b as (select q, sum(pq * pc) base from q group by q),
  m as (select q, doc_id, sum(pq * (greatest(pc, ln(v) + 0.1) + ln(1 + exp(-abs(pc - ln(v) - 0.1))) - pc)) more from q join (select doc_id, term, v from em where v > 0) using (term) group by all),
- c as (select q, doc_id, -(base + more) ce from m join b using (q)) select q, doc_id, round(ce, 6) ce, row_number() over (partition by q order by round(ce, 9), doc_id)::int rank from c""",
+ c as (select q, doc_id, -(base + coalesce(more, 0)) ce from (select q, base, doc_id from b, (select distinct doc_id from em)) left join m using (q, doc_id)) select q, doc_id, round(ce, 6) ce, row_number() over (partition by q order by round(ce, 9), doc_id)::int rank from c""",
         "pairs_all": f"with {DOCS}, {ALL} select i, j, label from pairs",
         "pairs_controlled": f"with {DOCS}, {ALL} select i, j, label from pairs where not {AGREE.format('title_i', 'title_j')}",
         "pairs_limited": f"with {DOCS}, {ALL} select i, j, label from pairs where not {AGREE.format('title_i', 'title_j')} order by md5('{SEED}|' || i || '|' || j), i, j limit {PAIRS}",
@@ -250,10 +290,18 @@ def oracle_sql() -> dict[str, str]:
         "rank_breakeven": f"with {FIT}, {curve()} select round(precision, 6) as precision, round(recall, 6) as recall, round(f1, 6) f1 from {BEST}",
         "threshold_transfer": f"with {PREDICT}, td as (select * from tr where phase = 'dev'), {curve('td')}, bs as (select threshold from {BEST}), tt as (select tr.*, threshold from tr, bs where phase = 'test') select (select round(threshold, 6) from bs) threshold, * from ({hits('sim >= threshold', 'tt')})",
         "ks_two_sample": f"""with {FIT}, e as (select sim, sum(y) a, sum(1 - y) b from tr group by sim), r as (select sum(a) over (order by sim) a, sum(b) over (order by sim) b, sum(a) over () na, sum(b) over () nb from e)
- select round(max(abs(a / na - b / nb)), 6) d, max(na)::bigint n_same, max(nb)::bigint n_diff from r""",
-        "kde_grid": f"with {FIT}, g as (select k / 20 x from range(21) t(k)) select label, round(x, 6) x, round(avg(exp(-pow((x - score) / 0.1, 2) / 2)) / (0.1 * sqrt(2 * pi())), 6) density from sc, g group by label, x",
+ select round(d, 6) d, n_same, n_diff, round(case when x > 0.05 then least(greatest(2 * list_sum(list_transform(range(1, 101), lambda k: (case when k % 2 = 1 then 1 else -1 end) * exp(-2 * k * k * x * x))), 0), 1) else 1 end, 6) p
+ from (select *, (en + 0.12 + 0.11 / en) * d x from (select *, sqrt(n_same::double * n_diff / (n_same + n_diff)) en from (select max(abs(a / na - b / nb)) d, max(na)::bigint n_same, max(nb)::bigint n_diff from r)))""",
+        "kde_grid": f"""with {FIT}, g as (select k / 20 x from range(21) t(k)), h as (select label, stddev_samp(score) * pow(count(*), -0.2) h from sc group by label)
+ select label, round(x, 6) x, round(avg(exp(-pow((x - score) / h, 2) / 2)) / (max(h) * sqrt(2 * pi())), 6) density from sc join h using (label), g group by label, x""",
         "distance_table": f"with {search}, {dists('pairs', 'minmax')} select author_i || '_' || title_i id_i, author_j || '_' || title_j id_j, round(minmax, 6) d from dists",
-        "distance_corr": f"with {search}, {dists('pairs', 'minmax')}, t as (select i, j, round(minmax, 9) d from dists) select x.i a, y.i b, round(corr(x.d, y.d), 6) r from t x join t y using (j) group by all",
+        "distance_corr": f"with {search}, {dists('pairs', 'minmax')}, t as (select i, j, trunc(round(minmax, 9) * 1000) d from dists union all select distinct i, i, 0 from dists) select x.i a, y.i b, round(case when stddev_pop(x.d) * stddev_pop(y.d) > 0 then corr(x.d, y.d) end, 6) r from t x join t y using (j) group by all",
+        "distance_dense": f"with {search}, {dists('pairs', 'minmax')} select i, j, round(minmax, 6) d from dists union all select distinct i, i, 0.0 from dists",
+        "repeated_labels": f"with {DOCS} select * from (select doc_id, author, count(*) over (partition by author) docs from docs) where docs > 1",
+        **{f"vsm_chars_{m}": f"with {DOCS}, {vsm(m).replace(CNT, GRAMS)} select doc_id, term, round(v, 6) as value from dtm" for m in RAW},
+        "pairs_drawn": f"with {DOCS}, {drawn('docs', PAIRS, 'pairs')} select i, j, label from pairs",
+        "impostor_sigma_authors": sigma_whole("(rank = 1)::int::double", True), "impostor_sigma_plain": sigma_whole("case when rank <= 11 then 1::double / rank else 0 end", False),
+        "impostor_sigma_features": sigma("(rank = 1)::int::double", authors=False), "impostor_sigma_self": sigma("(rank = 1)::int::double", background="dev"),
         "closest_cross_author": f"with {search}, {dists('pairs', 'minmax')} select author_i, author_j, i, j, trunc(m * 1000)::int d from (select *, round(minmax, 9) m from dists) where author_i <> author_j and m > 0 order by m, i, j limit 250",
         **{f"smooth_{w}": smooth(n, w) for n, w in ((5, "hanning"), (4, "flat"), (7, "hamming"), (6, "bartlett"), (5, "blackman"))},
         "logsum": "select vec_id, round(m + ln(list_sum(list_transform(v, lambda x: exp(x - m)))), 6) logsum from (select vec_id, v, list_max(v) m from (select vec_id, any_value(vec::double[]) v from style_vectors where vec is not null and len(vec) > 0 group by 1))",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -12,7 +12,7 @@ from calamus.operators import weighting
 from calamus.operators.counting import ngram_counts, term_counts, vocabulary
 from calamus.operators.distances import METRICS, of_pairs
 from calamus.operators.matrix import distance_table
-from calamus.operators.pairing import balanced
+from calamus.operators.pairing import against_all, balanced, drawn
 from calamus.operators.scoring import scaled
 from calamus.session import materialize
 
@@ -28,8 +28,11 @@ class Config:
     metric: str = "cosine"
     model: str = "std"
     features: str = "words"
-    n_pairs: int = 500
-    control_pairs: bool = False
+    n_dev_pairs: int | None = None
+    n_test_pairs: int | None = None
+    balanced_pairs: bool = False
+    control_pairs: bool = True
+    text_cutoff: int | None = None
     iterations: int = 10
     n_potential: int = 30
     n_actual: int | None = 10
@@ -39,13 +42,14 @@ class Config:
     em_iterations: int = 10
     ngram: int = 4
     seed: int = 1066
-    extra: dict = field(default_factory=dict)
 
     def __post_init__(self) -> None:
         if self.features not in ("words", "chars"):
             raise NotImplementedError(f"features: {self.features}")
         if self.metric not in METRICS:
             raise ValueError(f"no such metric: {self.metric}")
+        if self.balanced_pairs and None in (self.n_dev_pairs, self.n_test_pairs):
+            raise ValueError("balanced pairs need their numbers")
 
     @property
     def bootstrap(self) -> imp.Bootstrap:
@@ -64,19 +68,26 @@ class SameAuthor:
 
     def vectorize(self, docs: DataFrame) -> SameAuthor:
         c = self.config
-        self.docs = docs
+        self.docs = docs if c.text_cutoff is None else docs.withColumn("words", F.slice("words", 1, c.text_cutoff))
+        docs = self.docs
         counts = ngram_counts(docs, c.ngram) if c.features == "chars" else term_counts(docs)
         counts = materialize(counts, "counts")
         self.vocab = materialize(vocabulary(counts, c.n_features, 2, binary=c.model == "bin"), "vocabulary")
         em = {"weight": c.weight, "iterations": c.em_iterations, "eps": c.eps} if c.model == "plm" else {}
-        self.dtm = materialize(weighting.weigh(counts, c.model, c.n_features, docs.count(), **em), "vectors")
+        self.dtm = materialize(weighting.weigh(counts, c.model, c.n_features, docs.count(), vocab=self.vocab, **em), "vectors")
         return self
 
     def phase(self, name: str) -> DataFrame:
         return self.docs.where(F.col("phase") == name)
 
     def pairs(self, phase: str) -> DataFrame:
-        return balanced(self.phase(phase), self.config.n_pairs, self.config.control_pairs, self.config.seed)
+        """A sample balanced by label, or of all ordered pairs; without a number, every ordered pair, whose number grows as the
+        square of the documents."""
+        c, docs = self.config, self.phase(phase)
+        n = c.n_dev_pairs if phase == "dev" else c.n_test_pairs
+        if c.balanced_pairs:
+            return balanced(docs, n, c.control_pairs, c.seed)
+        return against_all(docs, docs, c.control_pairs) if n is None else drawn(docs, n, c.control_pairs, c.seed)
 
     def distances(self, pairs: DataFrame) -> DataFrame:
         """Pairs with `dist`."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from calamus.functions import text as T
-from calamus.functions.hashing import key, positions
+from calamus.functions.ordering import numbered
 
 
 def author_of(name: Column) -> Column:
@@ -21,12 +21,10 @@ def title_of(name: Column) -> Column:
 
 
 def number_unknown(docs: DataFrame, path: str) -> DataFrame:
-    """Documents without an author get the numbers 0, 1, ... as authors. They are numbered in the order of hashed paths, so
-    that no task has to see all of them."""
+    """Documents without an author get the numbers 0, 1, ... as authors, in the order of their paths."""
     named = docs.where(F.col("author").isNotNull())
-    unknown = docs.where(F.col("author").isNull()).withColumn("_key", key(F.col(path)))
-    numbered = positions(unknown, "_key", "_n").withColumn("author", F.col("_n").cast("string")).drop("_n", "_key")
-    return named.unionByName(numbered)
+    unknown = numbered(docs.where(F.col("author").isNull()), "_n", path).withColumn("author", F.col("_n").cast("string")).drop("_n")
+    return named.unionByName(unknown.select(*named.columns))
 
 
 def read_corpus(spark: SparkSession, directory: str, text_cutoff: int | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from calamus.functions.hashing import key, positions
+from calamus.functions.ordering import numbered
 
 
 def seven_fields(files: DataFrame) -> DataFrame:
@@ -26,7 +26,6 @@ def dash_fields(files: DataFrame) -> DataFrame:
 
 
 def index_names(files: DataFrame) -> DataFrame:
-    """(file_name, author, title, new_name): file k of the hashed order becomes author k, title k."""
-    numbered = positions(files.select("file_name").distinct().withColumn("_key", key(F.col("file_name"))), "_key", "_k")
+    """(file_name, author, title, new_name): file k in the order of names becomes author k, title k."""
     k = F.col("_k").cast("string")
-    return numbered.select("file_name", k.alias("author"), k.alias("title"), F.concat(k, F.lit("_"), k, F.lit(".txt")).alias("new_name"))
+    return numbered(files.select("file_name").distinct(), "_k", "file_name").select("file_name", k.alias("author"), k.alias("title"), F.concat(k, F.lit("_"), k, F.lit(".txt")).alias("new_name"))

@@ -127,7 +127,10 @@ def test_thresholds_and_ranks(spark):
 def test_ks_golden(spark):
     rows = [("same_author", x) for x in (0.1, 0.35, 0.2)] + [("diff_author", x) for x in (0.4, 0.8, 0.2, 0.9)]
     assert evaluating.two_sample_ks(scores(spark, rows)).first()["d"] == pytest.approx(0.75)
-    assert 0 <= evaluating.ks_p_value(0.75, 3, 4) <= 1
+    got = evaluating.two_sample_ks(scores(spark, rows)).first()
+    en = math.sqrt(3 * 4 / 7)
+    x = (en + 0.12 + 0.11 / en) * 0.75
+    assert got["p"] == pytest.approx(2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101)))
 
 
 def test_scaling(spark):
@@ -192,6 +195,19 @@ def test_balanced_pairs(spark):
         assert not ("_" in r["title_i"] and "_" in r["title_j"] and r["title_i"].split("_")[0] == r["title_j"].split("_")[0])
 
 
+def test_all_pairs_there_are(spark):
+    """One stem holds nearly all of an author's documents: the few eligible pairs are found, however rare."""
+    rows = [(i, "A", f"book_{i}") for i in range(60)] + [(60, "A", "letter_1"), (61, "B", "book_x"), (62, "C", "plain")]
+    d = spark.createDataFrame(rows, "doc_id bigint, author string, title string")
+    got = pairing.balanced(d, 400, True, tries=1).collect()
+    same = {(r["i"], r["j"]) for r in got if r["label"] == "same_author"}
+    assert same == {(i, 60) for i in range(60)} | {(60, i) for i in range(60)}
+    other = {(r["i"], r["j"]) for r in got if r["label"] != "same_author"}
+    assert len(other) == len(same) and all({i, j} & {61, 62} and not ({i, j} & set(range(60)) and {i, j} & {61}) for i, j in other)
+    every = {(r["i"], r["j"]) for r in pairing.drawn(d, 10**4, False).collect()}
+    assert len(every) == 63 * 62
+
+
 def test_balanced_without_repeating_authors(spark):
     assert pairing.balanced(docs(spark, 4, 4), 10).count() == 0
 
@@ -230,6 +246,16 @@ def test_dense_table_and_back(spark):
 
 def test_corr(spark):
     t = spark.createDataFrame([(0, j, float(j)) for j in range(4)] + [(1, j, -2.0 * j) for j in range(4)], "i bigint, j bigint, d double")
-    got = {(r["a"], r["b"]): r["r"] for r in matrix.correlations(t).collect()}
+    got = {(r["a"], r["b"]): r["r"] for r in matrix.correlations(t, 4).collect()}
     assert got[0, 1] == pytest.approx(-1) and got[0, 0] == pytest.approx(1)
     assert math.isclose(got[0, 1], got[1, 0])
+
+
+def test_corr_of_blocks_and_missing_cells(spark):
+    rnd = np.random.default_rng(2)
+    cells = {(i, j): float(rnd.random()) for i in range(7) for j in range(30) if i != j and rnd.random() < 0.9}
+    t = spark.createDataFrame([(i, j, d) for (i, j), d in cells.items()], "i bigint, j bigint, d double")
+    full = np.array([[int(cells.get((i, j), 0.0) * 1000) for j in range(30)] for i in range(7)])
+    got = {(r["a"], r["b"]): r["r"] for r in matrix.correlations(t, 30, block=2, rows=8).collect()}
+    want = np.corrcoef(full)
+    assert len(got) == 49 and all(got[a, b] == pytest.approx(want[a, b]) for a in range(7) for b in range(7))

@@ -38,8 +38,8 @@ def test_protocol_runs(spark, sf):
     from calamus.operators.splitting import split_authors
 
     docs = split_authors(corpus.records(spark.read.parquet(f"{sf}/corpus.parquet")))
-    for options in ({"features": "chars", "model": "plm"}, {"sample_authors": True, "sample_features": True, "iterations": 2, "n_potential": 5, "n_actual": 3}):
-        v = SameAuthor(metric="minmax", n_features=100, n_pairs=10, **options).vectorize(docs)
+    for options in ({"features": "chars", "model": "plm"}, {"sample_authors": True, "sample_features": True, "iterations": 2, "n_potential": 5, "n_actual": 3, "balanced_pairs": True}):
+        v = SameAuthor(metric="minmax", n_features=100, n_dev_pairs=10, n_test_pairs=10, **options).vectorize(docs)
         got = v.predict()
         assert got.where("score < 0 or score > 1").count() == 0 and got.count() > 0
         assert v.fit().count() > 0
@@ -61,3 +61,23 @@ def test_stream_counts(spark, tmp_path):
     stream = counts.read_stream(spark, str(tmp_path / "in"), "doc_id bigint, tokens array<string>, at string, loaded_at timestamp")
     counts.run_once(counts.record_counts(stream), "recs", str(tmp_path / "cp"))
     assert sorted((r["doc_id"], r["n_words"]) for r in spark.table("recs").collect()) == [(1, 2), (2, 1)]
+
+
+def test_daily_totals(spark, tmp_path):
+    rows = [(1, ["een", "twee"], "2024-01-01 10:00:00"), (1, ["een", "twee"], "2024-01-01 11:00:00"), (2, ["drie"], "2024-01-02 10:00:00"), (3, ["x"], "2024-01-09 10:00:00")]
+    df = spark.createDataFrame(rows, "doc_id bigint, tokens array<string>, at string").withColumn("loaded_at", F.to_timestamp("at"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = counts.read_stream(spark, str(tmp_path / "in"), "doc_id bigint, tokens array<string>, at string, loaded_at timestamp")
+    counts.run_once(counts.daily_totals(stream), "days", str(tmp_path / "cp"), "complete")
+    assert sorted((str(r["day"])[:10], r["records"], r["words"]) for r in spark.table("days").collect()) == [("2024-01-01", 1, 2), ("2024-01-02", 1, 1), ("2024-01-09", 1, 1)]
+
+
+def test_numbers_in_order(spark):
+    from calamus.functions.ordering import numbered, running_sums
+
+    df = spark.createDataFrame([(f"n{(i * 37) % 101:03}", i % 7) for i in range(101)], "name string, v int").repartition(5)
+    got = sorted((r["k"], r["name"]) for r in numbered(df, "k", "name").collect())
+    assert got == [(k, f"n{k:03}") for k in range(101)]
+    runs = running_sums(df, F.substring("name", 1, 2), [F.col("name")], total=F.col("v"))
+    rows = sorted((r["name"], r["v"], r["total"]) for r in runs.collect())
+    assert all(t == sum(v for _, v, _ in rows[: i + 1]) for i, (_, _, t) in enumerate(rows))
