@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import hashlib
 from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from calamus.functions.hashing import draw
+from calamus.functions.hashing import DIGITS
 from calamus.functions.text import title_stem
-from calamus.operators.distances import measure, of_queries, shared, sums
+from calamus.operators.distances import measure, of_queries
 from calamus.operators.pairing import crossed
-from calamus.session import broadcast_if_small
+from calamus.session import broadcast_if_small, materialize
 
 
 @dataclass(frozen=True)
@@ -51,6 +54,52 @@ def potential(pairs: DataFrame, background: DataFrame, dtm: DataFrame, metric: s
     return cand.withColumn("r", F.row_number().over(order) - 1).where(F.col("r") < how.n_potential).select("i", "j", "b", "dist", "r")
 
 
+PARTS = "i bigint, j bigint, it int, t bigint, mn double, dot double, dv double, n double, s1i double, s2i double, nzi double, s1j double, s2j double, nzj double, w1i double, w1j double, wmn double"
+
+
+def _number(n: int, *parts: object) -> int:
+    """What `hashing.draw` gives for the same parts."""
+    return int(hashlib.md5("|".join(map(str, parts)).encode()).hexdigest()[:DIGITS], 16) % n
+
+
+def _meetings(how: Bootstrap, n_terms: int):
+    """For one pair (its first document in row -2, the second in row -1, impostors from row 0): the sums that the metrics need,
+    per iteration between the first document and the second (t 0) and each impostor met t times."""
+    size = int(how.random_prop * how.n_features)
+
+    def run(f: pd.DataFrame) -> pd.DataFrame:
+        f = f.sort_values("r")
+        i, j, have = int(f["i"].iloc[0]), int(f["j"].iloc[0]), len(f) - 2
+        v, has = np.zeros((len(f), n_terms)), np.zeros((len(f), n_terms), bool)
+        for row, (idx, value) in enumerate(zip(f["idx"], f["value"], strict=True)):
+            if idx is not None:
+                v[row, idx], has[row, idx] = value, True
+        a, b = v[0], v[1:]
+        both = has[1:] & has[0]
+        least = np.where(both, np.minimum(a, b), 0.0)
+        gap = np.divide(2 * (a - b), a + b, out=np.zeros_like(b), where=both & (a + b > 0)) ** 2
+        sums = np.stack([least, np.where(both, a * b, 0.0), gap, both.astype(float), b, b * b, has[1:].astype(float)])
+        own = np.stack([a, a * a, has[0].astype(float)])
+        out = []
+        for it in range(how.iterations):
+            met = np.ones(have, int)
+            if how.sample_authors:
+                met = np.bincount([_number(have, how.seed, "imp", i, j, it, d) for d in range(how.actual)], minlength=have)
+            times = np.ones(n_terms)
+            if how.sample_features:
+                times = np.bincount([_number(n_terms, how.seed, "feat", i, j, it, x) for x in range(size)], minlength=n_terms).astype(float)
+            rows = np.r_[0, 1 + np.flatnonzero(met)]
+            mn, dot, dv, n, s1, s2, nz = sums[:, rows] @ times
+            mine = own @ times
+            out.append(pd.DataFrame({
+                "i": i, "j": j, "it": it, "t": np.r_[0, met[met > 0]], "mn": mn, "dot": dot, "dv": dv, "n": n, "s1i": mine[0], "s2i": mine[1], "nzi": mine[2], "s1j": s1, "s2j": s2, "nzj": nz,
+                "w1i": a.sum(), "w1j": b[rows].sum(1), "wmn": least[rows].sum(1),
+            }))
+        return pd.concat(out)
+
+    return run
+
+
 def sigmas(pairs: DataFrame, background: DataFrame, dtm: DataFrame, terms: DataFrame, metric: str, how: Bootstrap) -> DataFrame:
     """(i, j, label, score): sigma of every pair, 1 minus the mean reward. `terms` has (term, idx), idx from 0.
 
@@ -58,44 +107,19 @@ def sigmas(pairs: DataFrame, background: DataFrame, dtm: DataFrame, terms: DataF
     drawn twice counts twice); without sampling of authors all potential impostors are met, without sampling of features
     all features count. The target's rank is 1 plus the number of impostors nearer
     to i, ties in its favour. With top_rank 1 the reward is 1 for rank 1; else 1/rank up to rank top_rank + 1 (one more
-    than the name says, kept). Draws are keyed hashes: (pair, iteration, draw). The work is pairs x iterations x
+    than the name says, kept). Draws are keyed hashes: (pair, iteration, draw). A task holds one pair at a time, with the rows of
+    its impostors over the vocabulary, a size that parameters bound. The work is pairs x iterations x
     impostors x shared features, so the number of pairs is a parameter.
     """
-    near = potential(pairs, background, dtm, metric, how)
-    have = near.groupBy("i", "j").agg(F.count(F.lit(1)).alias("have"))
-    runs = have.withColumn("it", F.explode(F.sequence(F.lit(0), F.lit(how.iterations - 1))))
-    if how.sample_authors:
-        picks = runs.withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(how.actual - 1)))).withColumn("r", draw(F.col("have"), how.seed, "imp", F.col("i"), F.col("j"), F.col("it"), F.col("d")).cast("int"))
-    else:
-        picks = runs.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("have").cast("int") - 1)))
-    impostors = picks.join(near.select("i", "j", "r", "b"), ["i", "j", "r"]).select("i", "j", "it", "b", F.lit(1).alias("t"))
-    weights = impostors.groupBy("i", "j", "it", "b").agg(F.sum("t").alias("t"))
-    rivals = weights.select("i", "j", "it", F.col("b").alias("x"), "t").unionByName(runs.select("i", "j", "it", F.col("j").alias("x"), F.lit(0).cast("bigint").alias("t")))
-    mine = dtm.select(F.col("doc_id").alias("i"), "term", F.col("value").alias("a"))
-    theirs = dtm.select(F.col("doc_id").alias("x"), "term", F.col("value").alias("b"))
-    if how.sample_features:
-        size = int(how.random_prop * how.n_features)
-        count = terms.count()
-        drawn = runs.select("i", "j", "it", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("f"))
-        drawn = drawn.withColumn("idx", draw(F.lit(count), how.seed, "feat", F.col("i"), F.col("j"), F.col("it"), F.col("f"))).groupBy("i", "j", "it", "idx").agg(F.count(F.lit(1)).cast("double").alias("m"))
-        drawn = drawn.join(F.broadcast(terms), "idx").select("i", "j", "it", "term", "m")
-        me = drawn.join(mine, ["i", "term"], "left").select("i", "j", "it", "term", "m", "a")
-        them = rivals.join(drawn, ["i", "j", "it"]).join(theirs, ["x", "term"], "left").join(me.select("i", "j", "it", "term", "a"), ["i", "j", "it", "term"], "left")
-        total = lambda c, q: F.sum(F.when(F.col(c).isNotNull(), F.col("m") * q(F.col(c)))).alias
-        own = lambda c, s: [total(c, lambda v: v)(f"s1{s}"), total(c, lambda v: v * v)(f"s2{s}"), total(c, lambda v: F.lit(1.0))(f"nz{s}")]
-        both = shared(F.col("a"), F.col("b"), F.when(F.col("a").isNotNull() & F.col("b").isNotNull(), F.col("m")))
-        parts = them.groupBy("i", "j", "it", "x", "t").agg(*both, *own("a", "i"), *own("b", "j"))
-        if metric == "cityblock":  # it looks at the whole rows, whatever features are drawn
-            whole = sums(dtm)
-            met = rivals.select("i", "x").distinct().join(mine, "i").join(theirs, ["x", "term"]).groupBy("i", "x").agg(F.sum(F.least("a", "b")).alias("wmn"))
-            parts = parts.join(met, ["i", "x"], "left").join(whole.select(F.col("doc_id").alias("i"), F.col("s1").alias("w1i")), "i", "left")
-            parts = parts.join(whole.select(F.col("doc_id").alias("x"), F.col("s1").alias("w1j")), "x", "left")
-    else:
-        met = rivals.select("i", "x").distinct().join(mine, "i").join(theirs, ["x", "term"]).groupBy("i", "x").agg(*shared(F.col("a"), F.col("b")))
-        of = sums(dtm)
-        parts = rivals.join(met, ["i", "x"], "left")
-        for k, s in (("i", "i"), ("x", "j")):
-            parts = parts.join(of.select(F.col("doc_id").alias(k), F.col("s1").alias(f"s1{s}"), F.col("s2").alias(f"s2{s}"), F.col("nz").alias(f"nz{s}")), k, "left")
+    near = potential(pairs, background, dtm, metric, how).select("i", "j", F.col("r").cast("int").alias("r"), F.col("b").alias("x"))
+    near = materialize(near, "potential")
+    pair = near.select("i", "j").distinct()
+    every = near.unionByName(pair.select("i", "j", F.lit(-2).alias("r"), F.col("i").alias("x"))).unionByName(pair.select("i", "j", F.lit(-1).alias("r"), F.col("j").alias("x")))
+    named = every.select(F.col("x").alias("doc_id")).distinct()
+    rows = dtm.join(broadcast_if_small(named), "doc_id", "left_semi").join(broadcast_if_small(terms), "term")
+    vectors = rows.groupBy(F.col("doc_id").alias("x")).agg(F.collect_list(F.struct("idx", "value")).alias("v"))  # at most n_features a document
+    held = every.join(vectors, "x", "left").select("i", "j", "r", F.col("v.idx").alias("idx"), F.col("v.value").alias("value"))
+    parts = held.groupBy("i", "j").applyInPandas(_meetings(how, terms.count()), PARTS)
     dist = measure(parts, metric).select("i", "j", "it", "t", F.round(metric, 9).alias("d"))
     target = F.max(F.when(F.col("t") == 0, F.col("d"))).over(Window.partitionBy("i", "j", "it"))
     ranks = dist.withColumn("_target", target).groupBy("i", "j", "it").agg((1 + F.sum(F.when(F.col("d") < F.col("_target"), F.col("t")).otherwise(0))).alias("rank"))
