@@ -39,8 +39,8 @@ P8_QUEUE = f"""
 with d as materialized (select doc_id, lower(trim(source)) source, coalesce({LEN}, 0) n, md5('mix|' || doc_id) k from documents where source is not null),
 z as (select source, sum(n)::bigint size from d group by source), t as (select sum(n)::bigint total from d),
 m as (select distinct mix_name, lower(trim(source)) source, target_share, max_copies from mix_targets where mix_name is not null and source is not null),
-q as (select *, sum(n) over (partition by source order by k, doc_id rows unbounded preceding)::bigint at from d),
-c as (select mix_name, source, doc_id, n, copy, ((copy - 1) * size + at) / target_share finish
+q as (select *, sum(n) over (partition by source order by k, doc_id rows unbounded preceding)::bigint upto from d),
+c as (select mix_name, source, doc_id, n, copy, ((copy - 1) * size + upto) / target_share finish
   from (select *, unnest(range(1, max_copies + 1)) copy from q join m using (source) join z using (source) where target_share > 0 and max_copies > 0)),
 s as (select *, sum(n) over (partition by mix_name order by finish, source, doc_id, copy rows unbounded preceding) spent from c),
 taken as materialized (select mix_name, doc_id, source, count(*)::int copies, sum(n)::bigint tokens from s, t where spent <= total group by all)

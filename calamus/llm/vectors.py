@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from calamus.llm.records import once
-from calamus.session import BROADCAST_ROWS, materialize, small_enough
+from calamus.session import BROADCAST_ROWS, broadcast_if_small, materialize, small_enough
 
 
 @dataclass(frozen=True)
@@ -87,7 +87,7 @@ def _data_rows(index: Index, dims: int, carry: bool):
     return run
 
 
-def _query_rows(index: Index, dims: int, carry: bool, margin: float):
+def _query_rows(index: Index, dims: int, margin: float):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             if not len(f):
@@ -102,7 +102,7 @@ def _query_rows(index: Index, dims: int, carry: bool, margin: float):
             ids = f["_id"].to_numpy()
             yield pd.DataFrame(
                 {"cell": cell.astype(np.int32), "_id": ids[who], "code": [packed[i].tobytes() for i in who], "x": step[who].astype(np.float32), "y": np.float32(0),
-                 "v": [unit[i].tobytes() if carry else None for i in who]}
+                 "v": [None] * len(who)}
             )
 
     return run
@@ -112,7 +112,7 @@ ENTRY = "cell int, _id bigint, code binary, x float, y float, v binary"
 FOUND = "q bigint, p bigint, sim float"
 
 
-def _search(index: Index, dims: int, k: int, floor: float | None, carry: bool, width: float, rows: int):
+def _search(index: Index, dims: int, k: int, floor: float, width: float, rows: int):
     """A stream of blocks, each its data rows first and then its queries; only one block's data are held, queries pass by."""
     root = np.float32(np.sqrt(dims))
 
@@ -125,8 +125,7 @@ def _search(index: Index, dims: int, k: int, floor: float | None, carry: bool, w
         signs = (bits.astype(np.float32) * 2 - 1) * (r / (root * y))
         spread = np.sqrt(np.maximum(1 - y * y, 0) / (y * y * (dims - 1)))
         high, low = (np.hstack([signs, 1 - r * r / 2, w * width * r * spread, w * width * r, np.ones_like(r)]).astype(np.float32).T.copy() for w in (1, -1))
-        whole = np.frombuffer(b"".join(h["v"]), np.float32).reshape(len(h), dims) if carry else None
-        return [h["_id"].to_numpy(), high, low, whole]
+        return [h["_id"].to_numpy(), high, low]
 
     def kth(rows_: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
         """The k-th largest value of each row given sparsely; -9 where there are fewer."""
@@ -137,21 +136,8 @@ def _search(index: Index, dims: int, k: int, floor: float | None, carry: bool, w
         out[r[place == k - 1]] = values[order][place == k - 1]
         return out
 
-    def best_so_far(upper: np.ndarray, u: np.ndarray, mine: np.ndarray, ids: np.ndarray, whole: np.ndarray) -> np.ndarray:
-        """The k-th best exact similarity among each query's most promising rows (those whose bound stands out, or all of a
-        small block): nothing with a lower bound can be among the k best."""
-        out = np.full((len(upper), 1), floor if floor is not None else -9, np.float32)
-        line = upper.mean(1, keepdims=True) + 2.6 * upper.std(1, keepdims=True) if len(ids) > 64 else out
-        a, b = np.nonzero(upper >= line)
-        other = mine[a] != ids[b]
-        a, b = a[other], b[other]
-        if len(a):
-            upper[a, b] = 9  # these are in hand, whatever their bound says
-            out[:, 0] = np.maximum(out[:, 0], kth(a, np.einsum("ij,ij->i", u[a], whole[b]), len(upper)) - np.float32(1e-6))
-        return out
-
     def answer(cell: int, data: list, ask: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        ids, high, low, whole = data
+        ids, high, low = data
         for lo in range(0, len(ask), rows):
             part = ask.iloc[lo : lo + rows]
             packed = np.frombuffer(b"".join(part["code"]), np.uint8).reshape(len(part), dims // 2)
@@ -164,32 +150,17 @@ def _search(index: Index, dims: int, k: int, floor: float | None, carry: bool, w
             q = np.hstack([q, np.ones_like(step), np.sqrt(far2), step / np.float32(np.sqrt(12)), -far2 / 2]).astype(np.float32)
             mine = part["_id"].to_numpy()
             upper = q @ high
-            if carry:
-                u = np.frombuffer(b"".join(part["v"]), np.float32).reshape(len(part), dims)
-                need = best_so_far(upper, u, mine, ids, whole)
-            else:
-                need = np.float32(floor)
-            a, b = np.nonzero(upper >= need)
+            a, b = np.nonzero(upper >= np.float32(floor))
             other = mine[a] != ids[b]
             a, b = a[other], b[other]
             if not len(a):
                 continue
-            if not carry:
-                # Nothing below the k-th best lower bound can be among the k best; with few candidates there is none.
-                if np.bincount(a).max() > k:
-                    least = np.einsum("ij,ji->i", q[a], low[:, b])
-                    best = upper[a, b] >= kth(a, least, len(part))[a]
-                    a, b = a[best], b[best]
-                yield pd.DataFrame({"q": mine[a], "p": ids[b], "sim": upper[a, b]})
-                continue
-            exact = np.einsum("ij,ij->i", u[a], whole[b])
-            keep = exact >= need[a, 0]
-            a, b, exact = a[keep], b[keep], exact[keep]
-            order = np.lexsort((ids[b], -exact, a))
-            r = a[order]
-            first = np.arange(len(r)) - np.searchsorted(r, r) < k
-            a, b, exact = r[first], b[order][first], exact[order][first]
-            yield pd.DataFrame({"q": mine[a], "p": ids[b], "sim": exact})
+            # Nothing below the k-th best lower bound can be among the k best; with few candidates there is none.
+            if np.bincount(a).max() > k:
+                least = np.einsum("ij,ji->i", q[a], low[:, b])
+                best = upper[a, b] >= kth(a, least, len(part))[a]
+                a, b = a[best], b[best]
+            yield pd.DataFrame({"q": mine[a], "p": ids[b], "sim": upper[a, b]})
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         at, held, data = None, [], None
@@ -209,6 +180,161 @@ def _search(index: Index, dims: int, k: int, floor: float | None, carry: bool, w
     return run
 
 
+def probed_cells(index: Index, sample: np.ndarray, k: int, target: float, asked: int = 1000, spare: float = 0.5) -> np.ndarray:
+    """(cells, m): for each cell, the cells its vectors ask, nearest first. m is the least number that holds `target` of the k
+    nearest others of `asked` sample vectors. In the whole collection neighbours are nearer than in a sample of it, so they lie
+    in cells at least as near, as a rule; the misses that are left are cut by `spare`."""
+    unit = index.centres / np.maximum(np.linalg.norm(index.centres, axis=1, keepdims=True), 1e-6)
+    order = np.argsort(-(unit @ unit.T), axis=1, kind="stable")
+    n = len(order)
+    if n == 1 or len(sample) <= k:
+        return order
+    place = np.empty_like(order)
+    np.put_along_axis(place, order, np.broadcast_to(np.arange(n), order.shape), axis=1)
+    home = (sample @ unit.T).argmax(1)
+    step = max(1, len(sample) // asked)
+    q = np.arange(0, len(sample), step)
+    ranks = []
+    for lo in range(0, len(q), 256):
+        part = q[lo : lo + 256]
+        sims = sample[part] @ sample.T
+        sims[np.arange(len(part)), part] = -9
+        best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
+        ranks.append(place[home[part][:, None], home[best]].ravel())
+    missed = (1 - target) * spare
+    m = 1 + int(np.quantile(np.concatenate(ranks), 1 - missed, method="higher"))
+    return order[:, : min(n, m)]
+
+
+def _held(index: Index, dims: int, k: int, probes: np.ndarray, width: float, rows: int):
+    """A stream of blocks, each its queries first and then the data of the cells that any of them asks, its own cells first.
+    The queries are held with the k best found so far; data pass by in batches, and the k-th best of a query is what a
+    row's upper bound has to reach. Data rows carry one bit per coordinate and two scalars, queries four bits."""
+    root = np.float32(np.sqrt(dims))
+    asks = np.zeros((len(index.centres), len(index.centres)), bool)
+    np.put_along_axis(asks, probes, True, axis=1)
+
+    def four_bits(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        turned = unit @ index.rotation
+        step = np.maximum(np.abs(turned).max(1, keepdims=True), 1e-9) / 7
+        return (np.rint(turned / step) * step).astype(np.float32), (step / np.sqrt(12)).astype(np.float32)
+
+    class Block:
+        def __init__(self, h: pd.DataFrame):
+            h = h.sort_values("cell", kind="stable")
+            self.cell, self.ids = h["cell"].to_numpy(), h["_id"].to_numpy()
+            self.unit = np.frombuffer(b"".join(h["v"]), np.float32).reshape(len(h), dims)
+            self.turned, self.off = four_bits(self.unit)
+            self.best = np.full((len(h), k), -9, np.float32)
+            self.who = np.full((len(h), k), np.iinfo(np.int64).max, np.int64)
+
+        def meet(self, cell: int, h: pd.DataFrame) -> None:
+            mine = np.flatnonzero(asks[self.cell, cell])
+            if not len(mine):
+                return
+            ids = h["_id"].to_numpy()
+            bits = np.unpackbits(np.frombuffer(b"".join(h["code"]), np.uint8).reshape(len(h), dims // 8), axis=1)
+            whole = np.frombuffer(b"".join(h["v"]), np.float32).reshape(len(h), dims)
+            r, y = h["x"].to_numpy()[:, None], np.maximum(h["y"].to_numpy()[:, None], 1e-6)
+            spread = np.sqrt(np.maximum(1 - y * y, 0) / (y * y * (dims - 1)))
+            signs = (bits.astype(np.float32) * 2 - 1) * (r / (root * y))
+            high = np.hstack([signs, 1 - r * r / 2, width * r * spread, width * r, np.ones_like(r)]).astype(np.float32).T.copy()
+            for lo in range(0, len(mine), rows):
+                at = mine[lo : lo + rows]
+                q = self.turned[at] - index.turned[cell]
+                far2 = (q * q).sum(1, keepdims=True)
+                upper = np.hstack([q, np.ones_like(far2), np.sqrt(far2), self.off[at], -far2 / 2]) @ high
+                need = self.best[at, k - 1 : k]
+                if len(ids) > 64 and need.min() < -1:
+                    # Nothing is known of some queries yet: their most promising rows first.
+                    line = upper.mean(1, keepdims=True) + 2.6 * upper.std(1, keepdims=True)
+                    self.take(at, *np.nonzero((need < -1) & (upper >= line)), ids, whole)
+                    need = self.best[at, k - 1 : k]
+                self.take(at, *np.nonzero(upper >= need), ids, whole)
+
+        def take(self, at: np.ndarray, a: np.ndarray, b: np.ndarray, ids: np.ndarray, whole: np.ndarray) -> None:
+            mine = at[a]
+            other = self.ids[mine] != ids[b]
+            mine, b = mine[other], b[other]
+            for lo in range(0, len(mine), 500_000):
+                m, c = mine[lo : lo + 500_000], b[lo : lo + 500_000]
+                exact = np.einsum("ij,ij->i", self.unit[m], whole[c])
+                keep = exact >= self.best[m, k - 1]
+                m, c, exact = m[keep], c[keep], exact[keep]
+                if not len(m):
+                    continue
+                rows_, back = np.unique(m, return_inverse=True)
+                row = np.concatenate([np.repeat(np.arange(len(rows_)), k), back])
+                sim = np.concatenate([self.best[rows_].ravel(), exact])
+                who = np.concatenate([self.who[rows_].ravel(), ids[c]])
+                order = np.lexsort((who, -sim, row))
+                row, sim, who = row[order], sim[order], who[order]
+                again = np.r_[False, (row[1:] == row[:-1]) & (who[1:] == who[:-1]) & (sim[1:] == sim[:-1])] & (who != np.iinfo(np.int64).max)
+                row, sim, who = row[~again], sim[~again], who[~again]
+                place = np.arange(len(row)) - np.searchsorted(row, row)
+                first = place < k
+                self.best[rows_[row[first]], place[first]] = sim[first]
+                self.who[rows_[row[first]], place[first]] = who[first]
+
+        def found(self) -> pd.DataFrame:
+            a, b = np.nonzero(self.best > -8)
+            return pd.DataFrame({"q": self.ids[a], "p": self.who[a, b], "sim": self.best[a, b]})
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        at, held, block = None, [], None
+        for f in frames:
+            for (number, role, cell), part in f.groupby(["block", "role", "cell"], sort=False):
+                if at != number:
+                    if block is not None:
+                        yield block.found()
+                    at, held, block = number, [], None
+                if role == 0:
+                    held.append(part)
+                    continue
+                if block is None and held:
+                    block = Block(pd.concat(held))
+                    held = []
+                if block is not None:
+                    block.meet(cell, part)
+        if block is not None:
+            yield block.found()
+
+    return run
+
+
+def _nearest_of_all(solo: DataFrame, index: Index, probes: np.ndarray, dims: int, k: int, width: float, block_rows: int) -> DataFrame:
+    """(q, p, sim): cells are put into blocks of about `block_rows` queries, neighbours together; a block meets the data of every
+    cell that one of its cells asks. A cell larger than a block is divided among several. One number per cell is collected."""
+    data = materialize(solo.mapInPandas(_data_rows(index, dims, True), ENTRY), "p4-index")
+    sizes = {r["cell"]: r["count"] for r in data.groupBy("cell").count().collect()}
+    first, many, block, filled = {}, {}, 0, 0
+    needs: dict[int, set[int]] = {}
+    left = set(sizes)
+    cell = min(left, default=None)
+    while cell is not None:
+        left.discard(cell)
+        parts = -(-sizes[cell] // block_rows)
+        if filled and (parts > 1 or filled + sizes[cell] > block_rows):
+            block, filled = block + 1, 0
+        first[cell], many[cell] = block, parts
+        for x in range(block, block + parts):
+            needs.setdefault(x, set()).update(int(c) for c in probes[cell])
+        if parts > 1:
+            block, filled = block + parts, 0
+        else:
+            filled += sizes[cell]
+        cell = next((int(c) for c in probes[cell] if int(c) in left), min(left, default=None))
+    spark = solo.sparkSession
+    # At most as many rows as there are cells, times those a cell asks; both bounded by parameters.
+    homes = spark.createDataFrame([(c, first[c], many[c]) for c in first], "cell int, first int, parts int")
+    routes = spark.createDataFrame([(c, b, 2 - (first.get(c, -1) <= b < first.get(c, -1) + many.get(c, 0))) for b, cells in needs.items() for c in cells], "cell int, block int, role int")
+    ask = data.join(broadcast_if_small(homes), "cell").withColumn("block", F.col("first") + F.pmod(F.xxhash64("_id"), F.col("parts")).cast("int"))
+    ask = ask.select("block", F.lit(0).alias("role"), "cell", "_id", F.lit(None).cast("binary").alias("code"), "x", "y", "v")
+    met = data.join(broadcast_if_small(routes), "cell").select("block", "role", "cell", "_id", "code", "x", "y", "v")
+    rows = ask.unionByName(met).repartitionById(block + 1, F.col("block")).sortWithinPartitions("block", "role", "cell")
+    return rows.mapInPandas(_held(index, dims, k, probes, width, 2048), FOUND)
+
+
 def _copies(rows: DataFrame, k: int, salt: int = 32) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Groups of equal vectors: (_id, rep) of all members, (rep, _vec) of the representatives, and (rep, other, n) the first
     k + 1 members of each group of more than one. Ids are numbered per (group, salt) first, so no task sees a whole group."""
@@ -225,7 +351,7 @@ def _copies(rows: DataFrame, k: int, salt: int = 32) -> tuple[DataFrame, DataFra
 
 def nearest(
     vectors: DataFrame, k: int = 5, floor: float | None = None, id_col: str = "vec_id", vec_col: str = "vec", dims: int = 64, sample_rows: int = 20_000,
-    per_cell: int | None = None, max_cells: int = 4096, margin: float | None = None, width: float | None = None, block_rows: int | None = None, seed: int = 7,
+    per_cell: int = 500, max_cells: int = 4096, margin: float = 0.16, target: float = 0.995, width: float = 2.5, block_rows: int | None = None, seed: int = 7,
 ) -> DataFrame:
     """(id, neighbour, rank, similarity): the `k` most similar other vectors of every usable vector by cosine, ties by id.
     With `floor`, only neighbours of at least that similarity (none of the k that reach it is then lost to the floor).
@@ -233,13 +359,15 @@ def nearest(
     * Fitted on about `sample_rows` vectors (chosen by a hash of the id, whatever the number of vectors): a random rotation and cells, one per `per_cell`
       vectors, at most `max_cells`. Every vector is indexed.
     * A vector is stored as one bit per rotated coordinate of its residual from the cell's centre, with two correction
-      scalars: the residual's length and how well the code is aligned with it. Asked, it goes to its best cell and to
-      those whose centre is at most `margin` less close, with its coordinates rounded to four bits. Without a floor it
-      goes to every cell: the nearest of a vector that resembles nothing may lie in any of them.
-    * From code and scalars a task estimates each inner product with an error bound (`width` standard deviations); a
-      vector is reranked by its exact similarity only if its upper bound reaches the floor and the k-th best lower bound.
-    * A cell is kept in blocks of about `block_rows` vectors; a task holds one block and queries pass by in batches, so
-      no cell, however full, is gathered. Equal vectors are represented by their least id and given their neighbours
+      scalars: the residual's length and how well the code is aligned with it. Asked, its coordinates are rounded to four bits.
+      With a floor it asks its best cell and those whose centre is at most `margin` less close. Without one, the nearest of
+      a vector that resembles nothing may lie in many cells: as many are asked as hold `target` of the sample's neighbours.
+    * From code and scalars a task estimates each inner product with an error bound (`width` standard deviations); a vector is
+      reranked by its exact similarity only if its upper bound reaches the floor and the k-th best lower bound, or without a
+      floor the k-th best exact similarity so far.
+    * With a floor, a task holds a block of about `block_rows` vectors of a cell and queries pass by in batches; without, it holds
+      that many queries of neighbouring cells and the vectors of all cells they ask pass by, so each is sent once a block. No
+      cell, however full, is gathered. Equal vectors are represented by their least id and given their neighbours
       afterwards, k per member, so a group of copies costs its size, not its square.
 
     Defined results: NULL, all-zero vectors and those with other than `dims` numbers or with NULL, NaN or infinite ones take
@@ -252,32 +380,22 @@ def nearest(
     many = groups.count() > 0
     solo = rows.join(copies.where(F.col("_id") != F.col("rep")).select("_id"), "_id", "left_anti") if many else rows
     counted = solo.select("_id").count()
-    carry = floor is None
-    if per_cell is None:
-        per_cell = 16_000 if carry else 500
-    if block_rows is None:
-        block_rows = 32_768 if carry else 8192
-    if margin is None:
-        margin = float("inf") if carry else 0.16
-    if width is None:
-        width = 1.6 if carry else 2.5
-    sample = solo.where(F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(counted)) < sample_rows).select("_vec").toPandas() if counted > 4 * per_cell else None
-    unit = _unit(sample["_vec"], dims) if sample is not None and len(sample) else np.zeros((0, dims), np.float32)
-    index = fit(unit, min(max_cells, max(1, counted // per_cell)), seed)
-    data = solo.mapInPandas(_data_rows(index, dims, carry), ENTRY)
-    ask = solo.mapInPandas(_query_rows(index, dims, carry, margin), ENTRY)
-    if len(index.centres) * block_rows < counted * 4:  # else no cell can need more blocks than are worth counting
-        sizes = {r["cell"]: r["count"] for r in data.groupBy("cell").count().collect()}
+    sample = solo.where(F.pmod(F.xxhash64(F.lit(seed), "_id"), F.lit(max(counted, 1))) < sample_rows).select("_vec").toPandas()
+    unit = _unit(sample["_vec"], dims) if len(sample) else np.zeros((0, dims), np.float32)
+    index = fit(unit, min(max_cells, counted // per_cell) if counted > 4 * per_cell else 1, seed)
+    if floor is None:
+        probes = probed_cells(index, unit, k, target)
+        exact = _nearest_of_all(solo, index, probes, dims, k, width, block_rows or 32_768).withColumn("sim", F.col("sim").cast("double"))
     else:
+        block_rows = block_rows or 8192
+        data = solo.mapInPandas(_data_rows(index, dims, False), ENTRY)
+        ask = solo.mapInPandas(_query_rows(index, dims, margin), ENTRY)
         sizes = {r["cell"]: r["count"] for r in data.select("cell").groupBy("cell").count().collect()}
-    blocks = F.array(*[F.lit(1 + sizes.get(c, 0) // block_rows) for c in range(len(index.centres))])
-    data = data.withColumn("block", F.pmod(F.xxhash64("_id"), blocks[F.col("cell")]).cast("int")).withColumn("role", F.lit(0))
-    ask = ask.withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("cell")] - 1))).withColumn("role", F.lit(1))
-    entries = data.unionByName(ask).repartition("cell", "block").sortWithinPartitions("cell", "block", "role")
-    hits = entries.mapInPandas(_search(index, dims, k, floor, carry, width, 512), FOUND)
-    if carry:
-        exact = hits.withColumn("sim", F.col("sim").cast("double"))
-    else:
+        blocks = F.array(*[F.lit(1 + sizes.get(c, 0) // block_rows) for c in range(len(index.centres))])
+        data = data.withColumn("block", F.pmod(F.xxhash64("_id"), blocks[F.col("cell")]).cast("int")).withColumn("role", F.lit(0))
+        ask = ask.withColumn("block", F.explode(F.sequence(F.lit(0), blocks[F.col("cell")] - 1))).withColumn("role", F.lit(1))
+        entries = data.unionByName(ask).repartition("cell", "block").sortWithinPartitions("cell", "block", "role")
+        hits = entries.mapInPandas(_search(index, dims, k, floor, width, 512), FOUND)
         # A pair may have been found from either side: it counts for both.
         pairs = materialize(hits.select(F.least("q", "p").alias("a"), F.greatest("q", "p").alias("b")).distinct(), "p4-candidates")
         exact = _rerank(pairs, solo, floor)

@@ -95,6 +95,15 @@ def test_short_and_missing_sources(spark):
     assert {x["copies"] for x in taken if x["source"] == "b"} == {2}
 
 
+def test_a_budget_at_which_all_targets_hold(spark):
+    rows = [(i, "w w w w", "a") for i in range(90)] + [(100 + i, "w w w w", "b") for i in range(10)]
+    goals = targets(spark, [("m", "a", 0.6, 3), ("m", "b", 0.4, 2)])
+    whole = {r["source"]: r for r in mixing.schedule(docs(spark, rows), goals)[1].collect()}
+    assert whole["b"]["reachable"] == 200 and whole["b"]["share"] < 0.3 and whole["b"]["short"]
+    held = {r["source"]: r for r in mixing.schedule(docs(spark, rows), goals, budget=200, per_task=3)[1].collect()}
+    assert abs(held["b"]["share"] - 0.4) < 0.03 and not held["b"]["short"] and sum(r["tokens"] for r in held.values()) <= 200
+
+
 @pytest.mark.parametrize(("rows", "goals"), [([], [("m", "a", 1.0, 1)]), ([(1, "w", "a")], []), ([(1, None, "a")], [("m", "a", 1.0, 1), (None, "a", 1.0, 1), ("m", None, 0.5, 1)])])
 def test_little_or_nothing(spark, rows, goals):
     taken, report = mixed(spark, rows, goals)

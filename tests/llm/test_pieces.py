@@ -64,6 +64,21 @@ def test_headings_keep_sections_together():
     assert check(text, 20, 2)[0][1] == 14
 
 
+def test_nested_sections_lists_and_lines():
+    text = "# A\n\nw w w\n\n## B\n\nx x\n\n- a a\n\n  - b b\n\n- c\n\n# C\n\nend."
+    _, tree = pieces.structure(text)
+    a, c = tree.parts
+    assert [(n.lo, n.hi, n.level) for n in (a, c)] == [(0, 17, "section"), (17, 20, "section")]
+    b = a.parts[-1]
+    assert b.level == "section" and (b.lo, b.hi) == (5, 17)
+    item = b.parts[2]
+    assert len(item.parts) == 2 and (item.lo, item.hi) == (9, 15)  # an item and the one set in below it
+    # Whole siblings are merged, parts of different sections never.
+    assert pieces.pack(tree, 10, 1) == [(0, 5, "paragraph"), (5, 9, "paragraph"), (9, 17, "section"), (17, 20, "section")]
+    _, tree = pieces.structure("1. x y\n2. z\n\n<h2>T</h2>\n\nfoo")
+    assert [lvl for _, _, lvl in pieces.pack(tree, 3, 0)] == ["line", "section", "section"]
+
+
 def test_table(spark):
     long = " ".join(f"w{i}" for i in range(50_000))
     rows = [(1, "een twee"), (1, "een twee"), (2, None), (3, " \n\t "), (None, "x"), (4, long), (5, "﻿Een")]

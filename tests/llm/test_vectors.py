@@ -47,6 +47,22 @@ def test_recall_without_floor_over_many_cells(spark):
     assert len(got & brute(x, 5)) >= 0.995 * 15000
 
 
+@pytest.mark.parametrize("block", [200, 5000])
+def test_blocks_of_queries_do_not_change_what_is_found(spark, block):
+    x = data(1500, groups=10, spread=0.1)
+    got = {(r["vec_id"], r["neighbour"]) for r in vectors.nearest(frame(spark, enumerate(x)), 5, per_cell=60, block_rows=block).collect()}
+    assert len(got) == 7500 and len(got & brute(x, 5)) >= 0.99 * 7500
+
+
+def test_probes_are_few_where_cells_are_apart():
+    rng = np.random.default_rng(1)
+    centres = rng.standard_normal((30, 64)).astype(np.float32)
+    x = np.repeat(centres, 100, 0) + 0.05 * rng.standard_normal((3000, 64)).astype(np.float32)
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+    probes = vectors.probed_cells(vectors.fit(x, 30), x, 5, 0.99)
+    assert probes.shape[0] == 30 and probes.shape[1] <= 10 and (probes[:, 0] == np.arange(30)).all()
+
+
 def test_unusable_repeated_and_copies(spark):
     x = data(12, groups=2)
     rows = [(i, v) for i, v in enumerate(x)] + [(0, x[0]), (20, None), (21, [0.0] * 64), (22, [1.0] * 63), (23, [float("nan")] * 64), (24, [None] * 64), (None, x[1])]
