@@ -46,3 +46,8 @@ def test_distances_by_blocks(spark, monkeypatch, metric):
     for (i, j), r in got.items():
         assert r["same"] == (i % 4 == j % 4)
         assert r["d"] == (None if far(x[i], x[j], metric) is None else pytest.approx(far(x[i], x[j], metric), abs=1e-6))
+
+
+def test_dist_divergence_of_every_pair(spark, sf):
+    n = catalog.docs(spark, sf).count()
+    assert catalog.queries()["dist_divergence"](spark, sf).count() == n * (n - 1)
