@@ -51,3 +51,7 @@ def test_distances_by_blocks(spark, monkeypatch, metric):
 def test_dist_divergence_of_every_pair(spark, sf):
     n = catalog.docs(spark, sf).count()
     assert catalog.queries()["dist_divergence"](spark, sf).count() == n * (n - 1)
+
+
+def test_dist_divergence_shuffles_no_pairs(spark, sf):
+    assert not pairs_shuffled(catalog.queries()["dist_divergence"](spark, sf))
