@@ -55,3 +55,8 @@ def test_dist_divergence_of_every_pair(spark, sf):
 
 def test_dist_divergence_shuffles_no_pairs(spark, sf):
     assert not pairs_shuffled(catalog.queries()["dist_divergence"](spark, sf))
+
+
+@pytest.mark.parametrize("name", ["dist_cityblock"])
+def test_distances_shuffle_no_pairs(spark, sf, name):
+    assert not pairs_shuffled(catalog.queries()[name](spark, sf))
