@@ -57,6 +57,15 @@ def test_dist_divergence_shuffles_no_pairs(spark, sf):
     assert not pairs_shuffled(catalog.queries()["dist_divergence"](spark, sf))
 
 
-@pytest.mark.parametrize("name", ["dist_cityblock", "dist_cosine", "dist_euclidean", "distance_dense"])
+@pytest.mark.parametrize("name", ["dist_cityblock", "dist_cosine", "dist_euclidean", "distance_dense", "closest_cross_author"])
 def test_distances_shuffle_no_pairs(spark, sf, name):
     assert not pairs_shuffled(catalog.queries()[name](spark, sf))
+
+
+def test_closest_by_blocks(spark):
+    lists, terms, x = vectors(spark)
+    every = sorted((round(far(x[i], x[j], "minmax"), 9), i, j) for i in range(0, 23, 2) for j in range(23) if i % 4 != j % 4)
+    every = [r for r in every if r[0] > 0]
+    for n in (3, 40):
+        got = search.searched(lists, terms, "doc_id % 2 = 0", "minmax", search.closest(n), search.CLOSEST).collect()
+        assert sorted((round(r["d"], 9), r["i"], r["j"]) for r in got)[:n] == every[:n]
