@@ -57,7 +57,7 @@ def test_dist_divergence_shuffles_no_pairs(spark, sf):
     assert not pairs_shuffled(catalog.queries()["dist_divergence"](spark, sf))
 
 
-@pytest.mark.parametrize("name", ["dist_cityblock", "dist_cosine", "dist_euclidean", "distance_dense", "closest_cross_author"])
+@pytest.mark.parametrize("name", ["dist_cityblock", "dist_cosine", "dist_euclidean", "distance_dense", "closest_cross_author", "distance_table"])
 def test_distances_shuffle_no_pairs(spark, sf, name):
     assert not pairs_shuffled(catalog.queries()[name](spark, sf))
 
