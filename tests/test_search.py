@@ -69,3 +69,11 @@ def test_closest_by_blocks(spark):
     for n in (3, 40):
         got = search.searched(lists, terms, "doc_id % 2 = 0", "minmax", search.closest(n), search.CLOSEST).collect()
         assert sorted((round(r["d"], 9), r["i"], r["j"]) for r in got)[:n] == every[:n]
+
+
+def test_correlations_by_blocks(spark):
+    lists, terms, x = vectors(spark)
+    d = np.array([[int(round(far(a, b, "minmax"), 9) * 1000) for b in x] for a in x])
+    want = np.corrcoef(d[::2])
+    got = {(r["a"], r["b"]): r["r"] for r in search.correlations(lists, terms, "doc_id % 2 = 0", "minmax", block=4, rows=3).collect()}
+    assert len(got) == 144 and all(got[2 * a, 2 * b] == pytest.approx(want[a, b]) for a in range(12) for b in range(12))
