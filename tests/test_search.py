@@ -5,7 +5,7 @@ import re
 import numpy as np
 import pytest
 
-from calamus.operators import search
+from calamus.operators import counting, entropy, search, weighting
 from calamus.plans import catalog
 
 
@@ -77,3 +77,24 @@ def test_correlations_by_blocks(spark):
     want = np.corrcoef(d[::2])
     got = {(r["a"], r["b"]): r["r"] for r in search.correlations(lists, terms, "doc_id % 2 = 0", "minmax", block=4, rows=3).collect()}
     assert len(got) == 144 and all(got[2 * a, 2 * b] == pytest.approx(want[a, b]) for a in range(12) for b in range(12))
+
+
+def test_plm_cross_entropy_sorts_no_pairs(spark, sf):
+    plan = catalog.queries()["plm_cross_entropy"](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan
+
+
+@pytest.mark.parametrize("terms", [2_000_000, 3])
+def test_entropies_by_blocks(spark, monkeypatch, terms):
+    """Several blocks of queries and of documents, the vocabulary sent or joined: as the frames of rows have it."""
+    monkeypatch.setattr(entropy, "TERMS", terms)
+    monkeypatch.setattr(entropy, "HELD", 8 * 23 * 5)
+    lists, _, _ = vectors(spark)
+    counts = search.counts(lists)
+    v = counting.vocabulary(counts, None, 1)
+    model = weighting.plm(weighting.restrict(counts, v, whole=True), v, 0.1, 50, None, dense=True)
+    want = weighting.rank_models(weighting.cross_entropy(model.where("doc_id % 2 = 0"), model, weighting.background(v, 0.1))).collect()
+    got = {(r["q"], r["doc_id"]): r for r in entropy.ranked(lists, v, "doc_id % 2 = 0").collect()}
+    assert len(got) == len(want) == 12 * 23
+    for r in want:
+        assert got[r["q"], r["doc_id"]]["ce"] == pytest.approx(r["ce"], abs=1e-9) and got[r["q"], r["doc_id"]]["rank"] == r["rank"]
