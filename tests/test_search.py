@@ -48,6 +48,27 @@ def test_distances_by_blocks(spark, monkeypatch, metric):
         assert r["d"] == (None if far(x[i], x[j], metric) is None else pytest.approx(far(x[i], x[j], metric), abs=1e-6))
 
 
+@pytest.mark.parametrize("few", [2, 16])
+def test_two_blocks_meet_once(spark, monkeypatch, few):
+    """Half the distances of every document to every other are computed, and no pair of blocks is left out."""
+    monkeypatch.setattr(search, "FEW", few)
+    lists, terms, _ = vectors(spark)
+    blocks = search.packed(lists, terms, 2)
+    n, got = blocks.count(), [frozenset((r["no"], r["q_no"])) for r in search.meet_once(blocks).select("no", "q_no").collect()]
+    assert n >= 12 and len(got) == len(set(got)) == n * (n + 1) // 2
+
+
+@pytest.mark.parametrize("metric", list(search.METRICS))
+def test_every_pair_by_blocks(spark, monkeypatch, metric):
+    monkeypatch.setattr(search, "LEAST", 2)
+    lists, terms, x = vectors(spark)
+    got = [(r["i"], r["j"], r["same"], r["d"]) for r in search.searched(lists, terms, None, metric, search.pairs(9), search.PAIRS).collect()]
+    assert sorted(r[:2] for r in got) == [(i, j) for i in range(23) for j in range(23) if i != j]
+    for i, j, same, d in got:
+        assert same == (i % 4 == j % 4)
+        assert d == (None if far(x[i], x[j], metric) is None else pytest.approx(far(x[i], x[j], metric), abs=1e-6))
+
+
 def test_dist_divergence_of_every_pair(spark, sf):
     n = catalog.docs(spark, sf).count()
     assert catalog.queries()["dist_divergence"](spark, sf).count() == n * (n - 1)
